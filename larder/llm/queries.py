@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from larder.llm.common import table
+from larder.llm.fingerprints import fingerprint_edits
+from larder.llm.packing import pack
 from larder.llm.token_counts import token_counts
 from larder.llm.trie_encoding import encoding_digests
 
@@ -13,11 +15,19 @@ def op6_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_digests(table(spark, sf_dir, "documents"))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(table(spark, sf_dir, "documents"), k=128, size=5)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), limit=512)
 
 
-QUERIES = {f.__name__: f for f in (op6_bpe_encoding, op9_token_counts)}
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), capacity=1024, end_id=2)
+
+
+QUERIES = {f.__name__: f for f in (op6_bpe_encoding, op7_fingerprints, op9_token_counts, op10_best_fit_packing)}
 
 #: SQL for DuckDB where SQL can express the operator; the others are tested against brute force in tests/llm.
 ORACLES: dict[str, str] = {}
