@@ -7,10 +7,20 @@ from pyspark.sql import DataFrame, SparkSession
 from larder.llm.common import table
 from larder.llm.fingerprints import fingerprint_edits
 from larder.llm.packing import pack
+from larder.llm.pii import pii_digests
+from larder.llm.secret_scan import secret_digests
 from larder.llm.token_counts import token_counts
 from larder.llm.trie_encoding import encoding_digests
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digests(table(spark, sf_dir, "documents"))
+
+
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digests(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_digests(table(spark, sf_dir, "documents"))
 
@@ -27,7 +37,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), capacity=1024, end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op6_bpe_encoding, op7_fingerprints, op9_token_counts, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op3_secret_scan, op4_personal_data, op6_bpe_encoding, op7_fingerprints, op9_token_counts, op10_best_fit_packing)}
 
 #: SQL for DuckDB where SQL can express the operator; the others are tested against brute force in tests/llm.
 ORACLES: dict[str, str] = {}
