@@ -8,6 +8,7 @@ from larder.llm.common import table
 from larder.llm.fingerprints import fingerprint_edits
 from larder.llm.packing import pack
 from larder.llm.pii import pii_digests
+from larder.llm.quality_rules import rule_verdicts
 from larder.llm.secret_scan import secret_digests
 from larder.llm.token_counts import token_counts
 from larder.llm.trie_encoding import encoding_digests
@@ -29,6 +30,10 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents"), k=128, size=5)
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_verdicts(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), limit=512)
 
@@ -37,7 +42,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), capacity=1024, end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op3_secret_scan, op4_personal_data, op6_bpe_encoding, op7_fingerprints, op9_token_counts, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op3_secret_scan, op4_personal_data, op6_bpe_encoding, op7_fingerprints, op8_quality_rules, op9_token_counts, op10_best_fit_packing)}
 
 #: SQL for DuckDB where SQL can express the operator; the others are tested against brute force in tests/llm.
 ORACLES: dict[str, str] = {}
