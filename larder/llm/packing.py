@@ -21,71 +21,53 @@ text columns are read.
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
-from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from larder.llm.bpe import byte_letters
 from larder.llm.common import map_rows, public_tokenizer, schema_of, staged
-from larder.llm.token_counts import STRETCH
 
-#: Distinct stretches of text whose ids a Python worker keeps.
-KEEP_STRETCHES = 600_000
 
+class ByteEncoder:
+    """Ids of whole texts for a byte-level BPE tokenizer .json whose ids rise with merge rank, by tiktoken, which gives the same ids as the tokenizers library at a third of its CPU time. Special strings in texts are their one id, as by default there."""
 
-class StretchEncoder:
-    """Ids of whole texts by the tokenizers library; a stretch between visible character and white space is encoded once."""
+    #: Fixed value of this vocabulary: the pattern of its pre-tokenizer.
+    PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.special = {t.content: i.to_bytes(4, "little") for i, t in self.library.get_added_tokens_decoder().items()}
-        self.pattern = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.known: dict[str, bytes] = {}
-
-    def learn(self, stretches: Iterable[str]) -> None:
-        wanted = set(stretches)
-        new = list(wanted.difference(self.known))
-        if len(self.known) + len(new) > KEEP_STRETCHES:
-            self.known.clear()
-            new = list(wanted)
-        for s, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[s] = np.asarray(e.ids, "<u4").tobytes()
-
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        split = []
-        for t in texts:
-            if self.pattern is not None and self.pattern.search(t):
-                split.append([x for p in self.pattern.split(t) for x in ([p] if p in self.special else STRETCH.findall(p))])
-            else:
-                split.append(STRETCH.findall(t))
-        self.learn(s for parts in split for s in parts if s not in self.special)
-        find, special = self.known, self.special
-        return [b"".join([special.get(s) or find[s] for s in parts]) if any(x in t for x in special) else b"".join(map(find.__getitem__, parts)) for t, parts in zip(texts, split)]
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        byte = {c: b for b, c in enumerate(byte_letters())}
+        ranks = {bytes(byte[c] for c in s): i for s, i in spec["model"]["vocab"].items() if i not in {t["id"] for t in spec["added_tokens"]}}
+        self.library = tiktoken.Encoding(path, pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={t["content"]: t["id"] for t in spec["added_tokens"]})
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.library.encode_to_numpy(text, allowed_special="all")
 
 
 @lru_cache(maxsize=2)
-def stretch_encoder(path: str) -> StretchEncoder:
-    return StretchEncoder(path)
+def byte_encoder(path: str) -> ByteEncoder:
+    """One for each Python worker, kept between tasks."""
+    return ByteEncoder(path)
 
 
 def pieces_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 2, tokenizer: str | None = None) -> DataFrame:
     """(id, piece, start, length, ids_crc32) of every piece of every document."""
 
     def start():
-        coder = stretch_encoder(tokenizer or public_tokenizer("byte_bpe_50k.json"))
+        coder = byte_encoder(tokenizer or public_tokenizer("byte_bpe_50k.json"))
         end = end_id.to_bytes(4, "little")
 
         def rows(ids, texts):
-            for i, coded in zip(ids, coder.encode_batch([t or "" for t in texts])):
-                coded += end
+            for i, t in zip(ids, texts):
+                coded = coder.encode(t or "").astype("<u4").tobytes() + end
                 n, at, piece = len(coded) // 4, 0, 0
                 to = (n - 1) % capacity + 1
                 while at < n:
