@@ -8,12 +8,24 @@ from larder.llm.common import table
 from larder.llm.fingerprints import fingerprint_edits
 from larder.llm.packing import pack
 from larder.llm.pii import pii_digests
+from larder.llm.quality_classifier import score_quality, train_quality
 from larder.llm.quality_rules import rule_verdicts
 from larder.llm.secret_scan import secret_digests
 from larder.llm.token_counts import token_counts
+from larder.llm.toxicity import score_toxicity, train_toxicity
 from larder.llm.trie_encoding import encoding_digests
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, train_quality(docs, table(spark, sf_dir, "labels")), threshold=0.3)
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, train_toxicity(docs, table(spark, sf_dir, "labels")), threshold=0.3)
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(table(spark, sf_dir, "documents"))
 
@@ -42,7 +54,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), capacity=1024, end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op3_secret_scan, op4_personal_data, op6_bpe_encoding, op7_fingerprints, op8_quality_rules, op9_token_counts, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_toxicity, op3_secret_scan, op4_personal_data, op6_bpe_encoding, op7_fingerprints, op8_quality_rules, op9_token_counts, op10_best_fit_packing)}
 
 #: SQL for DuckDB where SQL can express the operator; the others are tested against brute force in tests/llm.
 ORACLES: dict[str, str] = {}
