@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from larder.llm.common import table
 from larder.llm.fingerprints import fingerprint_edits
+from larder.llm.near_dedup import near_duplicates
 from larder.llm.packing import pack
 from larder.llm.pii import pii_digests
 from larder.llm.quality_classifier import score_quality, train_quality
@@ -34,6 +35,10 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digests(table(spark, sf_dir, "documents"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
+
+
 def op6_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_digests(table(spark, sf_dir, "documents"))
 
@@ -54,7 +59,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), capacity=1024, end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_toxicity, op3_secret_scan, op4_personal_data, op6_bpe_encoding, op7_fingerprints, op8_quality_rules, op9_token_counts, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_toxicity, op3_secret_scan, op4_personal_data, op5_near_dedup, op6_bpe_encoding, op7_fingerprints, op8_quality_rules, op9_token_counts, op10_best_fit_packing)}
 
 #: SQL for DuckDB where SQL can express the operator; the others are tested against brute force in tests/llm.
 ORACLES: dict[str, str] = {}
