@@ -116,13 +116,13 @@ class Leader:
         return self.at(np.arange(BUCKETS)).astype(np.float32)
 
 
-def train(sample: DataFrame, kind: str, epochs: int = 3, **penalties: float) -> np.ndarray:
-    """Weights from a bounded sample with columns id, text, y (0 to 1) and w (importance)."""
+def train(sample: DataFrame, kind: str, epochs: int = 3, l1: float = 0.1, l1_per_row: float | None = None, **penalties: float) -> np.ndarray:
+    """Weights from a bounded sample with columns id, text, y (0 to 1) and w (importance). With `l1_per_row` a shard's L1 penalty grows with its rows up to `l1`."""
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["order", "id", "text"])
         rows = [(*vector(t or "", kind), y, w) for t, y, w in zip(pdf["text"], pdf["y"], pdf["w"])]
-        model = Leader(**penalties)
+        model = Leader(l1=l1 if l1_per_row is None else min(l1, max(0.3, l1_per_row * len(rows))), **penalties)
         for _ in range(epochs):
             for row in rows:
                 model.learn(*row)

@@ -71,7 +71,7 @@ def learn_units(sample: DataFrame) -> list[str]:
     if not size or not size["toxic"] or not size["clean"]:
         return []
     lift = (F.col("toxic") / size["toxic"]) / ((F.col("clean") + 0.5) / size["clean"])
-    best = counts.filter((F.col("unit") != "") & (F.col("toxic") >= 5) & (F.length("unit") >= 4) & (lift >= 20)).orderBy((F.col("toxic") * F.log(lift)).desc(), "unit")
+    best = counts.filter((F.col("unit") != "") & (F.col("toxic") >= 4) & (F.length("unit") >= 4) & (lift >= 20)).orderBy((F.col("toxic") * F.log(lift)).desc(), "unit")
     return [r["unit"] for r in best.limit(LEARNT_UNITS).collect()]
 
 
@@ -167,7 +167,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     for is_toxic, most in ((True, TRAIN_TOXIC), (False, TRAIN_CLEAN)):
         chosen.append(marked.filter((F.col("y") >= 0.8) == is_toxic).select("id", "y").orderBy(F.xxhash64("id"), "id").limit(most))
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen[0].unionByName(chosen[1]).groupBy("id").agg(F.max("y").alias("y"))), "id")
-    return hashed_linear.train(sample.withColumn("w", F.when(F.col("y") > 0.5, 2.0).otherwise(1.0)), "presence", epochs=8, alpha=1.0, l1=6.0, l2=0.0)
+    return hashed_linear.train(sample.withColumn("w", F.when(F.col("y") > 0.5, 2.0).otherwise(1.0)), "presence", epochs=8, alpha=1.0, l1=6.0, l1_per_row=0.004, l2=0.0)
 
 
 def score_toxicity(docs: DataFrame, weights: np.ndarray, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
