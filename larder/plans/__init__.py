@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ()
+MODULES = ("relational", "temporal")
 
 
 def load_all() -> None:
