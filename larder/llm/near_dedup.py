@@ -8,10 +8,10 @@ WIDTH minhashes. Sets of equal hash are one class; everything after runs over cl
 Classes that share a key are candidates. A key's members are not paired with each
 other: each is confirmed against one pivot, by the sizes of the intersection and the
 union of the full sets, and what is linked becomes one component. Only where a key
-still spans several components do further pivots follow, first single ones, then
-blocks of the smallest components' members against all others of the key, until no
-key has an unchecked pair across components. So no link among candidates is lost and
-no key emits all pairs of its members.
+still spans several components do blocks of further pivots follow, of 8, 64, 512 ...
+members, the same ones for all keys that the members share, and only against members of
+other components, until every member was a pivot or no key spans components. So no link
+among candidates is lost, and a key emits pairs only for members not yet linked.
 
 Two sets of similarity s share no key with probability
 1 - (1 - (1 - s ** WIDTH) ** GROUPS) ** 2: 2e-4 at 0.8, 2e-5 at 0.85.
@@ -28,15 +28,13 @@ import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from larder.llm.common import map_rows, schema_of, staged
 from larder.llm.fingerprints import mixed, shingle_hashes, word_hashes
 
 GROUPS, WIDTH = 9, 2
-SINGLE_PIVOTS = 3
-#: Members of a key that a block round checks against the rest of the key.
-BLOCK = 32
+#: Keys of at most so many members are settled in one round of blocks; larger keys have blocks that grow by this factor.
+SMALL, GROW = 32, 8
 
 
 def shingle_set(text: str, size: int) -> np.ndarray:
@@ -133,7 +131,9 @@ def near_duplicates(
 
     member = classes.select("c", "n", "first_id", tensored_keys(groups).alias("key"))
     shared = member.groupBy("key").agg(F.count("*").alias("in_key")).filter("in_key > 1")
-    members = staged(member.join(shared, "key").select("key", "c", "n", "first_id"), "near-members")
+    # `turn`, a hash of the class in [0, 1), says when a member becomes a pivot
+    turn = F.pmod(F.xxhash64("c", F.lit("turn")), F.lit(1 << 30)) / (1 << 30)
+    members = staged(member.join(shared, "key").select("key", "in_key", "c", "n", "first_id", turn.alias("turn")), "near-members")
 
     wanted = members.select("c", "first_id").distinct()
     texts = df.select(F.col(id_col).alias("first_id"), F.col(text_col).alias("text")).join(wanted, "first_id")
@@ -150,30 +150,22 @@ def near_duplicates(
     sets = staged(map_rows(texts, ["c", "text"], schema_of("c bigint, s array<bigint>"), start), "near-sets")
     labels = staged(wanted.select("c", F.col("c").alias("label")).distinct(), "near-labels")
 
-    open_rows, step = members.select("key", "c", "n"), 0
+    open_rows, step = members.drop("first_id"), 0
     while True:
         told = open_rows.join(labels, "c")
-        spans = told.groupBy("key").agg(F.count("*").alias("in_key"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key", "in_key")
-        told = staged(told.join(spans, "key"), "near-open")
+        spans = told.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
+        told = staged(told.join(spans, "key", "left_semi"), "near-open")
         if not told.limit(1).count():
             break
-        few = told.filter(F.col("in_key") <= BLOCK)
-        many = told.filter(F.col("in_key") > BLOCK)
-        if step < SINGLE_PIVOTS:
-            pivot = told.groupBy("key").agg(F.min_by(F.struct("c", "n", "label"), F.xxhash64("c", F.lit(step))).alias("p")).select("key", F.col("p.c").alias("a"), F.col("p.n").alias("an"), F.col("p.label").alias("al"))
-            open_rows = told.select("key", "c", "n")
-            found = told.join(pivot, "key")
+        if step == 0:
+            pivot = told.groupBy("key").agg(F.min_by(F.struct("c", "n", "label"), "turn").alias("p")).select("key", F.col("p.c").alias("a"), F.col("p.n").alias("an"), F.col("p.label").alias("al"))
+            open_rows = told.drop("label")
         else:
-            # small keys: their members are the block; large keys: the members of their smallest components
-            sizes = many.groupBy("key", "label").agg(F.count("*").alias("size"))
-            order = Window.partitionBy("key").orderBy("size", "label", "c")
-            block = many.join(sizes, ["key", "label"]).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= BLOCK)
-            block = staged(block.select("key", F.col("c").alias("a"), F.col("n").alias("an"), F.col("label").alias("al")), "near-block")
-            open_rows = many.join(block.select("key", F.col("a").alias("c")), ["key", "c"], "left_anti").select("key", "c", "n")
-            small = few.select("key", F.col("c").alias("a"), F.col("n").alias("an"), F.col("label").alias("al"))
-            found = told.join(block.unionByName(small), "key")
-        found = found.filter((F.col("label") != F.col("al")) & _alike_size("n", "an", percent))
-        if step >= SINGLE_PIVOTS:
+            upto = F.when(F.col("in_key") <= SMALL, 1.0).otherwise(F.lit(float(GROW**step)) / F.col("in_key"))
+            pivot = told.filter(F.col("turn") < upto).select("key", F.col("c").alias("a"), F.col("n").alias("an"), F.col("label").alias("al"))
+            open_rows = told.filter(F.col("turn") >= upto).drop("label")
+        found = told.join(pivot, "key").filter((F.col("label") != F.col("al")) & _alike_size("n", "an", percent))
+        if step:
             found = found.select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b"))
         else:
             found = found.select("a", F.col("c").alias("b"))
