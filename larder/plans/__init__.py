@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("relational", "temporal")
+MODULES = ("relational", "temporal", "records")
 
 
 def load_all() -> None:
