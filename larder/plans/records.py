@@ -65,14 +65,15 @@ def text_union(spark, sf):
 
 @query(
     "q_snapshot_reconcile",
-    f"""WITH t AS (SELECT o_custkey AS p, o_custkey % 5 AS f, o_orderpriority AS i, CASE WHEN max(o_orderkey) % 2 = 0 THEN 'active' ELSE 'inactive' END AS status, max(o_orderdate) AS at, max(o_totalprice) AS value FROM orders WHERE o_orderdate < TIMESTAMP '{CUT}' GROUP BY ALL),
-       s AS (SELECT o_custkey AS p, o_custkey % 5 AS f, o_orderpriority AS i, 'active' AS status, CASE WHEN o_custkey % 4 = 0 THEN TIMESTAMP '1990-01-01' ELSE TIMESTAMP '1999-01-01' END AS at, max(o_totalprice) AS value FROM orders WHERE o_orderdate >= TIMESTAMP '{CUT}' GROUP BY ALL),
-       good AS (SELECT s.p, s.f, max(s.at) AS at FROM s GROUP BY ALL HAVING max(s.at) > coalesce((SELECT max(t.at) FROM t WHERE t.p = s.p AND t.f = s.f), TIMESTAMP '1900-01-01')),
+    f"""WITH t AS (SELECT o_custkey AS p, o_custkey % 5 AS f, o_orderpriority AS i, CASE WHEN max(o_orderkey) % 2 = 0 THEN 'active' ELSE 'inactive' END AS status, max(o_orderdate) AS tm, max(o_totalprice) AS value FROM orders WHERE o_orderdate < TIMESTAMP '{CUT}' GROUP BY ALL),
+       s AS (SELECT o_custkey AS p, o_custkey % 5 AS f, o_orderpriority AS i, 'active' AS status, CASE WHEN o_custkey % 4 = 0 THEN TIMESTAMP '1990-01-01' ELSE TIMESTAMP '1999-01-01' END AS tm, max(o_totalprice) AS value FROM orders WHERE o_orderdate >= TIMESTAMP '{CUT}' GROUP BY ALL),
+       known AS (SELECT p, f, max(tm) AS old FROM t GROUP BY ALL),
+       good AS (SELECT s.p, s.f, max(s.tm) AS tm FROM s LEFT JOIN known k ON k.p = s.p AND k.f = s.f GROUP BY s.p, s.f HAVING max(s.tm) > coalesce(max(k.old), TIMESTAMP '1900-01-01')),
        fresh AS (SELECT s.* FROM s JOIN good USING (p, f))
        SELECT t.p AS person_id, t.i AS kind, CASE WHEN fresh.p IS NOT NULL THEN 'active' WHEN good.p IS NOT NULL AND t.status = 'active' THEN 'inactive' ELSE t.status END AS status,
-         CASE WHEN fresh.p IS NOT NULL THEN fresh.at WHEN good.p IS NOT NULL AND t.status = 'active' THEN good.at ELSE t.at END AS observed_at, coalesce(fresh.value, t.value) AS value
+         CASE WHEN fresh.p IS NOT NULL THEN fresh.tm WHEN good.p IS NOT NULL AND t.status = 'active' THEN good.tm ELSE t.tm END AS observed_at, coalesce(fresh.value, t.value) AS value
        FROM t LEFT JOIN fresh ON fresh.p = t.p AND fresh.i = t.i LEFT JOIN good ON good.p = t.p AND good.f = t.f
-       UNION ALL SELECT p, i, 'active', at, value FROM fresh WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.p = fresh.p AND t.i = fresh.i)""",
+       UNION ALL SELECT p, i, 'active', tm, value FROM fresh WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.p = fresh.p AND t.i = fresh.i)""",
 )
 def snapshot_reconcile(spark, sf):
     orders = read(spark, sf, "orders").withColumn("facility_id", F.col("o_custkey") % 5)
@@ -139,10 +140,10 @@ def people(spark, sf):
     )
 
 
-@query("q_bmi_profile", f"WITH {PEOPLE} SELECT c_custkey, bmi, category AS bmi_category, ibw AS ideal_weight_lb, round(aibw, 4) AS adjusted_weight_lb, kg AS calculation_weight_kg FROM n")
+@query("q_bmi_profile", f"WITH {PEOPLE} SELECT c_custkey, round(bmi, 1) AS bmi, category AS bmi_category, ibw AS ideal_weight_lb, round(aibw, 4) AS adjusted_weight_lb, kg AS calculation_weight_kg FROM n")
 def bmi_profile(spark, sf):
     p = nutrition.needs_profile("lb", "height", "sex", "age", F.col("goal"), "dialysis")
-    return people(spark, sf).select("c_custkey", p["bmi"].alias("bmi"), p["bmi_category"].alias("bmi_category"), p["ideal_weight_lb"].cast("double").alias("ideal_weight_lb"), F.round(p["adjusted_weight_lb"], 4).alias("adjusted_weight_lb"), p["calculation_weight_kg"].alias("calculation_weight_kg"))
+    return people(spark, sf).select("c_custkey", F.round(p["bmi"], 1).alias("bmi"), p["bmi_category"].alias("bmi_category"), p["ideal_weight_lb"].cast("double").alias("ideal_weight_lb"), F.round(p["adjusted_weight_lb"], 4).alias("adjusted_weight_lb"), p["calculation_weight_kg"].alias("calculation_weight_kg"))
 
 
 @query(
@@ -156,9 +157,9 @@ def needs(spark, sf):
     return people(spark, sf).select("c_custkey", kcal["low"].alias("kcal_low"), kcal["high"].alias("kcal_high"), protein["low"].alias("protein_low"), protein["high"].alias("protein_high"))
 
 
-@query("q_mifflin", f"WITH {PEOPLE} SELECT c_custkey, round_even(1.2 * (10 * round_even(lb / 2.2, 2) + 6.25 * round_even(height * 2.54, 2) - 5 * age + CASE WHEN sex = 'm' THEN 5 ELSE -161 END), 1) AS kcal FROM people")
+@query("q_mifflin", f"WITH {PEOPLE} SELECT c_custkey, round_even(1.2 * (10 * round_even(lb / 2.2, 2) + 6.25 * round_even(height * 2.54, 2) - 5 * age + CASE WHEN sex = 'm' THEN 5 ELSE -161 END), 0)::BIGINT AS kcal FROM people")
 def mifflin(spark, sf):
-    return people(spark, sf).select("c_custkey", F.bround(nutrition.mifflin("lb", "height", "sex", "age"), 1).alias("kcal"))
+    return people(spark, sf).select("c_custkey", F.bround(nutrition.mifflin("lb", "height", "sex", "age")).cast("long").alias("kcal"))
 
 
 FORMULAS = """f AS (SELECT p_partkey, 100 + p_size AS kcal, p_size / 2.0 AS protein, 50 + p_size AS water, 100 + p_size * 2 AS serving FROM part),
@@ -198,7 +199,7 @@ def tubefeed_documented(spark, sf):
     "q_pn",
     """WITH x AS (SELECT l_orderkey, l_linenumber, l_quantity * 50 AS v, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE 12.0 END AS h, CASE WHEN l_linenumber % 3 = 0 THEN l_quantity * 5 END AS r, 150.0 + l_linenumber AS dex, 50.0 AS aa, CASE WHEN l_returnflag = 'R' THEN 'piggyback' WHEN l_returnflag = 'A' THEN 'none' END AS d, CASE WHEN l_linenumber = 2 THEN 15.0 ELSE 20.0 END AS c FROM lineitem),
        y AS (SELECT *, coalesce(h, v / r) AS hours, dex * (v / 1000) AS dg, aa * (v / 1000) AS ag, CASE WHEN d = 'none' THEN 0.0 WHEN c = 20 THEN 250 * 2.0 END AS lk FROM x)
-       SELECT l_orderkey, l_linenumber, round_even(hours, 2) AS hours_per_day, round_even(dg, 1) AS dextrose_g_day, round_even(dg * 3.4 + ag * 4.0 + lk, 0) AS total_kcal_day, CASE WHEN d = 'piggyback' THEN v + 250 WHEN d = 'none' THEN v END AS total_fluid_ml_day, round_even(dg * 1000 / (60 * hours * 60), 1) AS gir FROM y""",
+       SELECT l_orderkey, l_linenumber, round_even(hours, 2) AS hours_per_day, round_even(dg, 2) AS dextrose_g_day, round_even(dg * 3.4 + ag * 4.0 + lk, 2) AS total_kcal_day, CASE WHEN d = 'piggyback' THEN v + 250 WHEN d = 'none' THEN v END AS total_fluid_ml_day, round(round_even(dg * 1000 / (60 * hours * 60), 2), 0) AS gir FROM y""",
 )
 def pn(spark, sf):
     q, n = F.col("l_quantity"), F.col("l_linenumber")
@@ -206,7 +207,7 @@ def pn(spark, sf):
         q * 50, F.when(n % 3 == 0, q * 5), F.when(n % 3 != 0, 12.0), 150.0 + n, F.lit(50.0), F.when(F.col("l_returnflag") == "R", "piggyback").when(F.col("l_returnflag") == "A", "none"), F.when(n == 2, 15.0).otherwise(20.0), F.lit(250.0), F.lit(60.0)
     )
     return read(spark, sf, "lineitem").select(
-        "l_orderkey", "l_linenumber", got["hours_per_day"].alias("hours_per_day"), F.bround(got["dextrose_g_day"], 1).alias("dextrose_g_day"), F.bround(got["total_kcal_day"], 0).alias("total_kcal_day"), got["total_fluid_ml_day"].alias("total_fluid_ml_day"), F.bround(got["gir_mg_kg_min"], 1).alias("gir")
+        "l_orderkey", "l_linenumber", got["hours_per_day"].alias("hours_per_day"), got["dextrose_g_day"].alias("dextrose_g_day"), got["total_kcal_day"].alias("total_kcal_day"), got["total_fluid_ml_day"].alias("total_fluid_ml_day"), F.round(got["gir_mg_kg_min"], 0).alias("gir")
     )
 
 
@@ -245,8 +246,8 @@ def token_counts(spark, sf):
 
 @query(
     "q_chunks",
-    """WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS t FROM documents), s AS (SELECT doc_id, t, len(t) AS n, unnest(range(0, greatest(len(t), 1), 500)) AS at FROM w WHERE len(t) > 0)
-       SELECT doc_id, (at // 500)::INT AS chunk_index, len(t[at + 1:at + 600])::INT AS n_tokens, md5(array_to_string(t[at + 1:at + 600], ' ')) AS body FROM s WHERE NOT (at > 0 AND at = n - 100)""",
+    """WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS t FROM documents), s AS (SELECT doc_id, t, len(t) AS n, unnest(range(0, greatest(len(t), 1), 500)) AS pos FROM w WHERE len(t) > 0)
+       SELECT doc_id, CAST(floor(pos / 500) AS INT) AS chunk_index, len(t[pos + 1:pos + 600])::INT AS n_tokens, md5(array_to_string(t[pos + 1:pos + 600], ' ')) AS body FROM s WHERE NOT (pos > 0 AND pos = n - 100)""",
 )
 def chunks(spark, sf):
     out = chunking.chunks(read(spark, sf, "documents"), ["doc_id"], chunking.word_tokens(F.col("text")), 600, 100)
