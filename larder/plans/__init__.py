@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("relational", "temporal", "records")
+MODULES = ("relational", "temporal", "records", "documents")
 
 
 def load_all() -> None:
