@@ -25,6 +25,8 @@ SHARDS = 4
 KEEP_CHUNKS = 300_000
 TOKEN = regex.compile(r"\w+|[^\w\s]+")
 _BIAS = np.zeros(1, np.int64)
+#: Offsets of the features "twice" and "three times", and an odd factor that spreads hashes over the buckets.
+TWICE, THRICE, SPREAD = 0x3C6EF372, 0x78DDE6E4, 0x9E3779B1
 
 
 class Tokens:
@@ -75,8 +77,8 @@ def word_ngrams(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def presence(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the units that occur, that occur twice, and three times or more, each counting 1, with a bias in bucket 0."""
     units, n = np.unique(h, return_counts=True)
-    found = np.concatenate([units, units[n >= 2] + 0x3C6EF372, units[n >= 3] + 0x78DDE6E4])
-    grams = np.concatenate([_BIAS, np.unique(found * 0x9E3779B1 % (BUCKETS - 1) + 1)])
+    found = np.concatenate([units, units[n >= 2] + TWICE, units[n >= 3] + THRICE])
+    grams = np.concatenate([_BIAS, np.unique(found * SPREAD % (BUCKETS - 1) + 1)])
     return grams, np.ones(len(grams))
 
 
@@ -136,19 +138,60 @@ def train(sample: DataFrame, kind: str, epochs: int = 3, l1: float = 0.1, l1_per
     return sum(np.frombuffer(r["weights"], np.float32) * np.float32(r["rows"] / total) for r in parts)
 
 
+class SparseScorer:
+    """Scores texts under fixed weights. Of the units of a chunk only those are kept whose buckets have weights that are not zero; for most chunks there are none, so the dot product runs over a handful of units. Only for `presence`, whose values do not depend on the other units."""
+
+    def __init__(self, weights: np.ndarray):
+        self.weights = weights
+        self.split = FEATURES["presence"][0]
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def keep(self, chunk: str) -> tuple[int, ...]:
+        h = np.array([xxhash.xxh32_intdigest(u) for u in self.split(chunk)], np.int64)
+        marked = np.stack([h, h + TWICE, h + THRICE]) * SPREAD % (BUCKETS - 1) + 1
+        return tuple(h[(self.weights[marked] != 0).any(axis=0)].tolist())
+
+    def score(self, text: str) -> float:
+        chunks, known = text.split(), self.known
+        try:
+            found = [known[c] for c in chunks]
+        except KeyError:
+            if len(known) > KEEP_CHUNKS:
+                known.clear()
+            for c in chunks:
+                if c not in known:
+                    known[c] = self.keep(c)
+            found = [known[c] for c in chunks]
+        at, x = presence(np.array([h for t in found if t for h in t], np.int64))
+        return float(1 / (1 + np.exp(-np.clip(self.weights[at] @ x, -30, 30))))
+
+
+_SCORERS: dict[int, SparseScorer] = {}
+
+
+def scorer(weights: np.ndarray, kind: str) -> Callable[[str], float]:
+    """The scoring function of a Python worker, kept between tasks with the same weights."""
+    if kind != "presence":
+
+        def dense(text: str) -> float:
+            at, x = vector(text, kind)
+            return float(1 / (1 + np.exp(-np.clip(weights[at] @ x, -30, 30))))
+
+        return dense
+    key = xxhash.xxh3_64_intdigest(weights.tobytes())
+    if key not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[key] = SparseScorer(weights)
+    return _SCORERS[key].score
+
+
 def score(df: DataFrame, weights: np.ndarray, kind: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) of every row: sparse dot products through the logistic function. No shuffle."""
     sent = df.sparkSession.sparkContext.broadcast(weights)  # 4 * BUCKETS bytes
 
     def start():
-        w = sent.value
-
-        def rows(ids, texts):
-            for i, t in zip(ids, texts):
-                at, x = vector(t or "", kind)
-                yield i, float(1 / (1 + np.exp(-np.clip(w[at] @ x, -30, 30))))
-
-        return rows
+        one = scorer(sent.value, kind)
+        return lambda ids, texts: ((i, one(t or "")) for i, t in zip(ids, texts))
 
     return map_rows(df, [id_col, text_col], schema_of(f"{id_col} bigint, score double"), start)
 
@@ -159,11 +202,7 @@ def score_column(spark, weights: np.ndarray, kind: str):
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
-        w = sent.value
-        out = []
-        for t in texts:
-            at, x = vector(t or "", kind)
-            out.append(float(1 / (1 + np.exp(-np.clip(w[at] @ x, -30, 30)))))
-        return pd.Series(out, dtype="float64")
+        one = scorer(sent.value, kind)
+        return pd.Series([one(t or "") for t in texts], dtype="float64")
 
     return scored

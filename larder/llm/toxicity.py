@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -42,6 +43,8 @@ LEXICONS = {
     "hate": "hate despise detest loathe odio odiar hasse hassen verachte haine haïr déteste",
 }
 PATTERNS = (re.compile(r"\byou(?:'re| are| were)?\s+(?:all\s+|just\s+|such\s+)?an?\s+\w+"), re.compile(r"\b(?:shut up|go away|get lost|drop dead|nobody likes)\b"))
+#: What a text must contain for a pattern to match.
+PATTERN_SIGNS = (("you",), ("shut up", "go away", "get lost", "drop dead", "nobody likes"))
 LEARNT_VOTERS = 8
 #: Bounds: labelled rows and units of the learnt lists, documents of either posterior class that train the classifier.
 LABELLED_ROWS = 6000
@@ -89,27 +92,35 @@ class Voters:
         self.first_pattern = first + LEARNT_VOTERS
         self.count = self.first_pattern + len(PATTERNS)
         self.bases = {u.removesuffix("*2").removesuffix("*3") for u in self.units}
-        self.known: dict[str, list[str]] = {}
-
-    def chunk(self, c: str) -> list[str]:
-        """The units of a chunk that any list knows; mostly none."""
-        found = self.known.get(c)
-        if found is None:
-            if len(self.known) > hashed_linear.KEEP_CHUNKS:
-                self.known.clear()
-            found = self.known[c] = [u for u in words_and_prefixes(c) if u in self.bases]
-        return found
+        self.known: dict[str, tuple[str, ...]] = {}  # the units of a chunk that any list knows; mostly none
 
     def votes(self, text: str) -> int:
+        chunks, known = text.split(), self.known
+        try:
+            found = [known[c] for c in chunks]
+        except KeyError:
+            if len(known) > hashed_linear.KEEP_CHUNKS:
+                known.clear()
+            for c in chunks:
+                if c not in known:
+                    known[c] = tuple(u for u in words_and_prefixes(c) if u in self.bases)
+            found = [known[c] for c in chunks]
         bits = 0
-        for u in repeated(Counter(u for c in text.split() for u in self.chunk(c))):
+        for u in repeated(Counter([u for x in found if x for u in x])):
             bits |= self.units.get(u, 0)
         low = text.lower()
-        for k, pattern in enumerate(PATTERNS):
-            bits |= bool(pattern.search(low)) << self.first_pattern + k
+        for k, (pattern, sign) in enumerate(zip(PATTERNS, PATTERN_SIGNS)):
+            if any(s in low for s in sign):
+                bits |= bool(pattern.search(low)) << self.first_pattern + k
         return bits
 
 
+@lru_cache(maxsize=2)
+def voters(learnt: tuple[str, ...]) -> Voters:
+    """One for each Python worker and learnt list, kept between tasks."""
+    return Voters(list(learnt))
+
+
 def label_model(patterns: np.ndarray, counts: np.ndarray, labelled: np.ndarray, voters: int, rounds: int = 60) -> tuple[np.ndarray, dict]:
     """Posterior of each vote pattern, and what was estimated.
 
@@ -148,7 +159,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     learnt = learn_units(labelled_sample(docs, labels, "toxic", learnable, LABELLED_ROWS, id_col, text_col))
 
     def start():
-        votes = Voters(learnt).votes
+        votes = voters(tuple(learnt)).votes
         return lambda ids, texts: ((i, votes(t) if t else 0) for i, t in zip(ids, texts))
 
     voted = staged(map_rows(docs, [id_col, text_col], schema_of("id bigint, votes bigint"), start), "toxic-votes")
