@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Other names of diet types, textures and restrictions.
 DIET_ALIASES = {"reg": "regular", "general": "regular", "house": "regular", "consistent carbohydrate": "ccd", "consistent carb": "ccd", "diabetic": "ccd", "nothing by mouth": "npo", "renal diet": "renal", "heart healthy": "cardiac", "low sodium": "sodium_restricted"}
@@ -28,7 +29,7 @@ def fold(x: Column) -> Column:
     return F.replace(F.lower(collapse(x)), F.lit("ß"), F.lit("ss"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def compatible(x: pd.Series) -> pd.Series:
     """NFKC, collapsed, lower case: Spark has no such normal form of its own."""
     return x.map(lambda s: None if s is None else " ".join(unicodedata.normalize("NFKC", s).split()).lower())
