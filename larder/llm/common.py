@@ -73,6 +73,35 @@ def map_rows(
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def filter_rows(df: DataFrame, column: str, start: Callable[[], Callable[[str | None], bool]]) -> DataFrame:
+    """The rows whose value in `column` passes; all columns go through as they are, a few rows in memory at a time."""
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = start()
+        for batch in batches:
+            for k in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(k, SLICE_ROWS)
+                yield part.filter(pa.array([bool(keep(v)) for v in part.column(at).to_pylist()], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def replace_texts(df: DataFrame, column: str, start: Callable[[], Callable[[str], str]]) -> DataFrame:
+    """The rows with new texts in `column`; nulls stay nulls and all other columns go through as they are."""
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        new = start()
+        for batch in batches:
+            for k in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(k, SLICE_ROWS)
+                texts = pa.array([None if v is None else new(v) for v in part.column(at).to_pylist()], part.schema.field(at).type)
+                yield pa.RecordBatch.from_arrays([texts if j == at else part.column(j) for j in range(part.num_columns)], schema=part.schema)
+
+    return df.mapInArrow(run, df.schema)
+
+
 def _arrow_type(kind: T.DataType) -> pa.DataType:
     simple = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "float": pa.float32()}
     if isinstance(kind, T.ArrayType):

@@ -22,7 +22,8 @@ from larder.llm.common import map_rows, schema_of
 BITS = 18
 BUCKETS = 1 << BITS
 SHARDS = 4
-KEEP_CHUNKS = 300_000
+#: Chunks of text that a Python worker keeps: all their units, and those with weights.
+KEEP_CHUNKS, KEEP_SPARSE = 200_000, 200_000
 TOKEN = regex.compile(r"\w+|[^\w\s]+")
 _BIAS = np.zeros(1, np.int64)
 #: Offsets of the features "twice" and "three times", and an odd factor that spreads hashes over the buckets.
@@ -156,7 +157,7 @@ class SparseScorer:
         try:
             found = [known[c] for c in chunks]
         except KeyError:
-            if len(known) > KEEP_CHUNKS:
+            if len(known) > KEEP_SPARSE:
                 known.clear()
             for c in chunks:
                 if c not in known:
@@ -195,14 +196,3 @@ def score(df: DataFrame, weights: np.ndarray, kind: str, id_col: str = "doc_id",
 
     return map_rows(df, [id_col, text_col], schema_of(f"{id_col} bigint, score double"), start)
 
-
-def score_column(spark, weights: np.ndarray, kind: str):
-    """The same score as a function of a text column, for use beside other columns."""
-    sent = spark.sparkContext.broadcast(weights)
-
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        one = scorer(sent.value, kind)
-        return pd.Series([one(t or "") for t in texts], dtype="float64")
-
-    return scored

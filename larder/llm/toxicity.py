@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.llm import hashed_linear
-from larder.llm.common import crc_mod, map_rows, schema_of, staged
+from larder.llm.common import crc_mod, filter_rows, map_rows, schema_of, staged
 from larder.llm.hashed_linear import words_and_prefixes
 from larder.llm.quality_classifier import labelled_sample
 
@@ -46,6 +46,8 @@ PATTERNS = (re.compile(r"\byou(?:'re| are| were)?\s+(?:all\s+|just\s+|such\s+)?a
 #: What a text must contain for a pattern to match.
 PATTERN_SIGNS = (("you",), ("shut up", "go away", "get lost", "drop dead", "nobody likes"))
 LEARNT_VOTERS = 8
+#: Chunks of text whose units a Python worker keeps.
+KEEP_CHUNKS = 200_000
 #: Bounds: labelled rows and units of the learnt lists, documents of either posterior class that train the classifier.
 LABELLED_ROWS = 6000
 LEARNT_UNITS = 400
@@ -68,7 +70,7 @@ def learn_units(sample: DataFrame) -> list[str]:
         n = {y: int((pdf["y"] == y).sum()) for y in (0, 1)}
         return pd.DataFrame({"unit": [*units, ""], "toxic": [*(seen[1][u] for u in units), n[1]], "clean": [*(seen[0][u] for u in units), n[0]]})
 
-    shards = sample.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(16))).groupBy("shard").applyInPandas(count, "unit string, toxic long, clean long")
+    shards = sample.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(64))).groupBy("shard").applyInPandas(count, "unit string, toxic long, clean long")
     counts = staged(shards.groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "toxic-units")
     size = counts.filter(F.col("unit") == "").first()
     if not size or not size["toxic"] or not size["clean"]:
@@ -99,7 +101,7 @@ class Voters:
         try:
             found = [known[c] for c in chunks]
         except KeyError:
-            if len(known) > hashed_linear.KEEP_CHUNKS:
+            if len(known) > KEEP_CHUNKS:
                 known.clear()
             for c in chunks:
                 if c not in known:
@@ -190,5 +192,10 @@ def score_toxicity(docs: DataFrame, weights: np.ndarray, threshold: float = 0.3,
 
 def drop_toxic(docs: DataFrame, weights: np.ndarray, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows that score below the threshold, with their columns as they were."""
-    scored = hashed_linear.score_column(docs.sparkSession, weights, "presence")
-    return docs.filter(scored(F.col(text_col)) < threshold)
+    sent = docs.sparkSession.sparkContext.broadcast(weights)  # 4 * BUCKETS bytes
+
+    def start():
+        score = hashed_linear.scorer(sent.value, "presence")
+        return lambda t: score(t or "") < threshold
+
+    return filter_rows(docs, text_col, start)
