@@ -23,11 +23,11 @@ BITS = 18
 BUCKETS = 1 << BITS
 SHARDS = 4
 #: Chunks of text that a Python worker keeps: all their units, and those with weights.
-KEEP_CHUNKS, KEEP_SPARSE = 200_000, 200_000
+KEEP_CHUNKS, KEEP_SPARSE = 200_000, 400_000
 TOKEN = regex.compile(r"\w+|[^\w\s]+")
 _BIAS = np.zeros(1, np.int64)
-#: Offsets of the features "twice" and "three times", and an odd factor that spreads hashes over the buckets.
-TWICE, THRICE, SPREAD = 0x3C6EF372, 0x78DDE6E4, 0x9E3779B1
+#: Offsets of the features "twice" and "three times", and an odd factor that spreads hashes over the buckets; products fit 64 bits.
+TWICE, THRICE, SPREAD = 0x3C6EF372, 0x78DDE6E4, 0x3779B1
 
 
 class Tokens:
@@ -58,10 +58,12 @@ def cased_tokens(chunk: str) -> list[str]:
 
 def words_and_prefixes(chunk: str) -> list[str]:
     """Lower-case words, and the beginnings of long ones, which stand for a word family."""
+    low = chunk.lower()
     out = []
-    for w in TOKEN.findall(chunk.lower()):
+    for w in (low,) if low.isalpha() else TOKEN.findall(low):
         out.append(w)
-        out += [f"{w[:k]}~" for k in (4, 5, 6, 7) if len(w) > k]
+        for k in range(4, min(len(w), 8)):
+            out.append(w[:k] + "~")
     return out
 
 
@@ -146,11 +148,12 @@ class SparseScorer:
         self.weights = weights
         self.split = FEATURES["presence"][0]
         self.known: dict[str, tuple[int, ...]] = {}
+        # spread hashes of units with a weight for occurring once, twice or three times
+        found = np.flatnonzero(weights[1:])
+        self.alive = {int(r) for off in (0, TWICE, THRICE) for r in (found - off * SPREAD) % (BUCKETS - 1)}
 
     def keep(self, chunk: str) -> tuple[int, ...]:
-        h = np.array([xxhash.xxh32_intdigest(u) for u in self.split(chunk)], np.int64)
-        marked = np.stack([h, h + TWICE, h + THRICE]) * SPREAD % (BUCKETS - 1) + 1
-        return tuple(h[(self.weights[marked] != 0).any(axis=0)].tolist())
+        return tuple(h for h in map(xxhash.xxh32_intdigest, self.split(chunk)) if h * SPREAD % (BUCKETS - 1) in self.alive)
 
     def score(self, text: str) -> float:
         chunks, known = text.split(), self.known

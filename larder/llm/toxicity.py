@@ -47,7 +47,7 @@ PATTERNS = (re.compile(r"\byou(?:'re| are| were)?\s+(?:all\s+|just\s+|such\s+)?a
 PATTERN_SIGNS = (("you",), ("shut up", "go away", "get lost", "drop dead", "nobody likes"))
 LEARNT_VOTERS = 8
 #: Chunks of text whose units a Python worker keeps.
-KEEP_CHUNKS = 200_000
+KEEP_CHUNKS = 400_000
 #: Bounds: labelled rows and units of the learnt lists, documents of either posterior class that train the classifier.
 LABELLED_ROWS = 6000
 LEARNT_UNITS = 400

@@ -141,5 +141,11 @@ def test_plans_keep_every_limit(histogram, most, attention, rule):
             at += size
         assert at <= 40 and len(items) <= (most or 40) and sum(s * s for _, s in items) <= (attention or 1600)
     if most is None and attention is None and rule == "residual_norm":
-        total = sum(s * n for s, n in histogram.items())
-        assert plan["bins"][0] <= 1.3 * -(-total // 40) + 2
+        room = []  # one piece at a time
+        for size in sorted((s for s, n in histogram.items() for _ in range(n)), reverse=True):
+            fits = [k for k, r in enumerate(room) if r >= size]
+            if fits:
+                room[min(fits, key=lambda k: room[k])] -= size
+            else:
+                room.append(40 - size)
+        assert plan["bins"][0] <= len(room) + 1
