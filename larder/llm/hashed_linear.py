@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from larder.llm.common import map_rows, schema_of
 
-BITS = 18
+BITS = 20
 BUCKETS = 1 << BITS
 SHARDS = 4
 #: Chunks of text that a Python worker keeps: all their units, and those with weights.

@@ -50,6 +50,7 @@ LEARNT_VOTERS = 8
 KEEP_CHUNKS = 400_000
 #: Bounds: labelled rows and units of the learnt lists, documents of either posterior class that train the classifier.
 LABELLED_ROWS = 6000
+CANDIDATE_UNITS = 20000
 LEARNT_UNITS = 400
 TRAIN_TOXIC, TRAIN_CLEAN = 3000, 5000
 
@@ -59,25 +60,32 @@ def repeated(units: Counter) -> list[str]:
     return [*units, *(f"{u}*2" for u, n in units.items() if n >= 2), *(f"{u}*3" for u, n in units.items() if n >= 3)]
 
 
-def learn_units(sample: DataFrame) -> list[str]:
-    """Words and word beginnings whose share of toxic texts is far above that of others: at most LEARNT_UNITS."""
+def _unit_counts(rows: DataFrame, among: frozenset[str] | None = None) -> DataFrame:
+    """In how many of the texts each unit occurs, counted in shards of the bounded sample."""
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen = {0: Counter(), 1: Counter()}
-        for t, y in zip(pdf["text"], pdf["y"]):
-            seen[int(y)].update(repeated(Counter(u for c in (t or "").split() for u in words_and_prefixes(c))))
-        units = [u for u, n in seen[1].items() if n >= 1]
-        n = {y: int((pdf["y"] == y).sum()) for y in (0, 1)}
-        return pd.DataFrame({"unit": [*units, ""], "toxic": [*(seen[1][u] for u in units), n[1]], "clean": [*(seen[0][u] for u in units), n[0]]})
-
-    shards = sample.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(64))).groupBy("shard").applyInPandas(count, "unit string, toxic long, clean long")
-    counts = staged(shards.groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "toxic-units")
-    size = counts.filter(F.col("unit") == "").first()
-    if not size or not size["toxic"] or not size["clean"]:
+        seen: Counter = Counter()
+        for t in pdf["text"]:
+            units = repeated(Counter(u for c in (t or "").split() for u in words_and_prefixes(c)))
+            seen.update(units if among is None else among.intersection(units))
+        return pd.DataFrame({"unit": list(seen), "texts": list(seen.values())})
+
+    sharded = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(64)))
+    return sharded.groupBy("shard").applyInPandas(count, "unit string, texts long").groupBy("unit").agg(F.sum("texts").alias("texts"))
+
+
+def learn_units(sample: DataFrame) -> list[str]:
+    """Words and word beginnings whose share of toxic texts is far above that of others: at most LEARNT_UNITS. First the units of toxic texts are counted, then the commonest CANDIDATE_UNITS of them in the others."""
+    sample = staged(sample.select("id", "text", "y"), "toxic-sample")
+    n = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if not n.get(1.0) or not n.get(0.0):
         return []
-    lift = (F.col("toxic") / size["toxic"]) / ((F.col("clean") + 0.5) / size["clean"])
-    best = counts.filter((F.col("unit") != "") & (F.col("toxic") >= 4) & (F.length("unit") >= 4) & (lift >= 20)).orderBy((F.col("toxic") * F.log(lift)).desc(), "unit")
-    return [r["unit"] for r in best.limit(LEARNT_UNITS).collect()]
+    common = _unit_counts(sample.filter("y = 1")).filter((F.col("texts") >= 4) & (F.length("unit") >= 4)).orderBy(F.col("texts").desc(), "unit").limit(CANDIDATE_UNITS)
+    toxic = {r["unit"]: r["texts"] for r in common.collect()}
+    clean = {r["unit"]: r["texts"] for r in _unit_counts(sample.filter("y = 0"), frozenset(toxic)).collect()}  # CANDIDATE_UNITS at most
+    lift = {u: (t / n[1.0]) / ((clean.get(u, 0) + 0.5) / n[0.0]) for u, t in toxic.items()}
+    best = sorted((u for u in toxic if lift[u] >= 20), key=lambda u: (-toxic[u] * np.log(lift[u]), u))
+    return best[:LEARNT_UNITS]
 
 
 class Voters:
