@@ -68,7 +68,7 @@ def _unit_counts(rows: DataFrame, among: frozenset[str] | None = None) -> DataFr
         for t in pdf["text"]:
             units = repeated(Counter(u for c in (t or "").split() for u in words_and_prefixes(c)))
             seen.update(units if among is None else among.intersection(units))
-        return pd.DataFrame({"unit": list(seen), "texts": list(seen.values())})
+        return pd.DataFrame({"unit": pd.Series(list(seen), dtype=object), "texts": pd.Series(list(seen.values()), dtype="int64")})
 
     sharded = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(64)))
     return sharded.groupBy("shard").applyInPandas(count, "unit string, texts long").groupBy("unit").agg(F.sum("texts").alias("texts"))
