@@ -15,7 +15,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 class VersionedTable:
-    """A table of immutable Parquet versions under one folder; `_current` names the version that readers see.
+    """A table of immutable Parquet versions under one folder; `CURRENT` names the version that readers see.
 
     A writer puts down a whole version first and then replaces the pointer, so readers see
     all of a change or none of it. One writer at a time.
@@ -31,8 +31,8 @@ class VersionedTable:
 
     def version(self) -> str | None:
         jvm, fs = self._fs()
-        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_current")
-        return self.spark.read.text(f"{self.path}/_current").first()[0] if fs.exists(at) else None
+        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT")
+        return self.spark.read.text(f"{self.path}/CURRENT").first()[0] if fs.exists(at) else None
 
     def read(self) -> DataFrame | None:
         version = self.version()
@@ -47,7 +47,7 @@ class VersionedTable:
         out = fs.create(at(f"_next-{version}"))
         out.write(bytearray(version.encode()))
         out.close()
-        if fs.exists(at("_current")):
-            fs.delete(at("_current"), False)
-        fs.rename(at(f"_next-{version}"), at("_current"))
+        if fs.exists(at("CURRENT")):
+            fs.delete(at("CURRENT"), False)
+        fs.rename(at(f"_next-{version}"), at("CURRENT"))
         return version
