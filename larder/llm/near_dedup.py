@@ -21,8 +21,10 @@ Two sets of similarity s share no key with probability
 
 Defined cases: a null, empty or blank text has no shingles and is linked with nothing;
 a text with fewer words than a shingle is one shingle; equal texts are one class;
-repeated ids count once for links and keep their rows, a component's id being the
-smallest id in it; an empty table gives no rows; other columns are ignored.
+rows are judged each for itself, whatever their ids: of a component's rows the one with
+the smallest id is kept, null ids last and ties by a hash of the whole row, and of rows
+alike in all columns one; a component's id is the smallest id in it, null if all are
+null; an empty table gives no rows; other columns only break ties.
 """
 
 from __future__ import annotations
@@ -84,17 +86,24 @@ def may_link(a: str, b: str, n: str, m: str, percent: int) -> Column:
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str, size: int, groups: int, width: int) -> DataFrame:
-    """(id, n_shingles, class, bands) of every row."""
+    """(id, row, n_shingles, class, bands) of every row; `row` is a hash of all its columns."""
 
     def start():
-        def rows(ids, texts):
-            for i, t in zip(ids, texts):
+        def rows(ids, hashes, texts):
+            for i, h, t in zip(ids, hashes, texts):
                 s = shingle_set(t, size) if t else np.zeros(0, np.uint64)
-                yield (i, len(s), class_of(s), band_values(s, groups, width), parity_bitmap(s)) if len(s) else (i, 0, None, None, None)
+                yield (i, h, len(s), class_of(s), band_values(s, groups, width), parity_bitmap(s)) if len(s) else (i, h, 0, None, None, None)
 
         return rows
 
-    return map_rows(df, [id_col, text_col], schema_of("id bigint, n_shingles bigint, c bigint, bands array<bigint>, bitmap array<bigint>"), start)
+    own = df.select(F.col(id_col).alias("id"), row_hash(df).alias("row"), F.col(text_col).alias("text"))
+    return map_rows(own, ["id", "row", "text"], schema_of("id bigint, row bigint, n_shingles bigint, c bigint, bands array<bigint>, bitmap array<bigint>"), start)
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A 64-bit hash of all columns, nulls told from other values."""
+    cells = [F.to_json(c) if "map<" in kind else F.col(c) for c, kind in df.dtypes]
+    return F.xxhash64(*cells, *(F.isnull(c) for c in cells))
 
 
 def tensored_keys(groups: int) -> Column:
@@ -134,18 +143,12 @@ def components(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return staged(labels.join(tree, labels["label"] == tree["x"], "left").select("c", F.coalesce("top", "label").alias("label")), "near-labels")
 
 
-def near_duplicates(
-    df: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    size: int = 5,
-    percent: int = 80,
-    groups: int = GROUPS,
-    width: int = WIDTH,
-) -> DataFrame:
-    """(id, n_shingles, component_id, kept) of every row: components of documents linked by a Jaccard similarity of at least percent / 100."""
-    docs = staged(signatures(df, id_col, text_col, size, groups, width), "near-signatures")
-    classes = docs.filter("c is not null").groupBy("c").agg(F.min("id").alias("first_id"), F.max("n_shingles").alias("n"), F.max("bands").alias("bands"), F.max("bitmap").alias("bitmap"))
+def judged(df: DataFrame, id_col: str, text_col: str, size: int, percent: int, groups: int = GROUPS, width: int = WIDTH) -> DataFrame:
+    """(id, row, n_shingles, component_id, kept) of every row; of a component's rows exactly one is kept."""
+    # the staged numbers tell apart rows that are alike in all columns
+    docs = staged(signatures(df, id_col, text_col, size, groups, width).withColumn("at", F.monotonically_increasing_id()), "near-signatures")
+    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "row", "at")
+    classes = docs.filter("c is not null").groupBy("c").agg(F.min("id").alias("first_id"), F.min(place).alias("first"), F.max("n_shingles").alias("n"), F.max("bands").alias("bands"), F.max("bitmap").alias("bitmap"))
     classes = staged(classes, "near-classes")
 
     member = classes.select("c", "n", "first_id", tensored_keys(groups).alias("key"))
@@ -155,7 +158,8 @@ def near_duplicates(
     members = staged(member.join(shared, "key").select("key", "in_key", "c", "n", "first_id", turn.alias("turn")), "near-members")
 
     wanted = members.select("c", "first_id").distinct()
-    texts = df.select(F.col(id_col).alias("first_id"), F.col(text_col).alias("text")).join(wanted, "first_id")
+    every = df.select(F.col(id_col).alias("first_id"), F.col(text_col).alias("text"))
+    texts = every.join(wanted, "first_id")
 
     def start():
         def rows(cs, ts):
@@ -166,7 +170,18 @@ def near_duplicates(
 
         return rows
 
-    sets = staged(map_rows(texts, ["c", "text"], schema_of("c bigint, s array<bigint>"), start), "near-sets")
+    def start_nameless():
+        def rows(ts):
+            for t in ts:
+                s = shingle_set(t or "", size)
+                if len(s):
+                    yield class_of(s), s.view(np.int64).tolist()
+
+        return rows
+
+    set_schema = schema_of("c bigint, s array<bigint>")
+    nameless = map_rows(every.filter("first_id is null"), ["text"], set_schema, start_nameless).join(wanted.filter("first_id is null").select("c"), "c", "left_semi")
+    sets = staged(map_rows(texts, ["c", "text"], set_schema, start).unionByName(nameless.groupBy("c").agg(F.first("s").alias("s"))), "near-sets")
     bitmaps = staged(classes.select("c", "bitmap").join(wanted.select("c"), "c", "left_semi"), "near-bitmaps")
     labels = staged(wanted.select("c", F.col("c").alias("label")).distinct(), "near-labels")
 
@@ -195,15 +210,35 @@ def near_duplicates(
         labels = components(labels, edges)
         step += 1
 
-    grouped = classes.select("c", "first_id").join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
-    least = grouped.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    found = staged(grouped.join(least, "label").select("c", "component_id"), "near-components")
-    rows = docs.select("id", "n_shingles", "c").join(found, "c", "left")
-    own = F.coalesce("component_id", "id")
-    return rows.select(F.col("id").alias(id_col), "n_shingles", own.alias("component_id"), F.coalesce(F.col("id") == own, F.lit(True)).alias("kept"))
+    grouped = classes.select("c", "first").join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
+    least = grouped.groupBy("label").agg(F.min("first").alias("best"))
+    found = staged(grouped.join(least, "label").select("c", F.col("best.id").alias("component_id"), F.col("best.at").alias("best_at")), "near-components")
+    rows = docs.select("id", "row", "at", "n_shingles", "c").join(found, "c", "left")
+    return rows.select("id", "row", "n_shingles", F.when(F.col("c").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce(F.col("at") == F.col("best_at"), F.lit(True)).alias("kept"))
+
+
+def near_duplicates(
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    size: int = 5,
+    percent: int = 80,
+    groups: int = GROUPS,
+    width: int = WIDTH,
+) -> DataFrame:
+    """(id, n_shingles, component_id, kept) of every row: components of documents linked by a Jaccard similarity of at least percent / 100."""
+    return judged(df, id_col, text_col, size, percent, groups, width).select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept")
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows that come first in their component, with their columns as they were; of rows repeated with that id, one stays."""
-    gone = near_duplicates(df, id_col, text_col, size, percent).filter(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
-    return df.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    """The rows that are kept, one of each component, with their columns as they were. Rows without shingles all stay."""
+    # rows alike in all columns share (id, row): such a group goes, stays, or has one row that stays
+    groups = judged(df, id_col, text_col, size, percent).groupBy("id", "row").agg(F.count("*").alias("n"), F.count_if("kept").alias("stay"))
+    cut = staged(groups.filter("stay < n").select(F.col("id").alias("_cut_id"), F.col("row").alias("_cut_row"), "stay"), "near-cut")
+    keyed = df.withColumn("_row", row_hash(df))
+    same = F.col(id_col).eqNullSafe(F.col("_cut_id")) & (F.col("_row") == F.col("_cut_row"))
+    out = keyed.join(cut, same, "left_anti")
+    repeated = cut.filter("stay > 0")
+    if repeated.limit(1).count():
+        out = out.unionByName(keyed.join(repeated, same, "left_semi").dropDuplicates([id_col, "_row"]))
+    return out.select(*df.columns)

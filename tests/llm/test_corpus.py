@@ -86,6 +86,21 @@ def test_near_duplicates_of_odd_rows(docs, empty):
     assert near_dedup.keep_first(docs).columns == docs.columns
 
 
+def test_one_row_of_each_component_stays(spark):
+    """Repeated ids with equal and with different texts, and null ids."""
+    a, b, c, d = (" ".join(f"{w}{k}" for k in range(60)) for w in "abcd")
+    near = d.replace("d30", "x")
+    rows = [(1, b, "s"), (5, a, "s"), (5, b, "s"), (6, a, "s"), (7, c, "s"), (7, c, "s"), (7, c, "t"), (None, a, "s"), (None, d, "s"), (None, near, "s"), (None, d, "s"), (8, None, "s"), (8, None, "s"), (None, "", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = [tuple(r) for r in near_dedup.keep_first(df).select("doc_id", "text").collect()]
+    assert sorted(r for r in kept if r[0] and r[1]) == [(1, b), (5, a), (7, c)]
+    assert sorted((str(r[1]) for r in kept if r[0] is None), key=len)[0] == "" and kept.count((8, None)) == 2
+    assert sum(r[0] is None for r in kept) == 2 and sum(r[1] in (d, near) for r in kept) == 1
+    got = near_dedup.near_duplicates(df).collect()
+    assert len(got) == len(rows) and sum(r["kept"] for r in got) == len(kept) == 7
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(1, 1), (5, 5), (5, 1), (6, 5), (7, 7), (None, 5), (None, None), (8, 8)}
+
+
 def test_band_chance():
     """Sets of similarity 0.8 share a key nearly always, unlike sets nearly never."""
     rng = np.random.default_rng(3)
