@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of an Arrow batch that are turned into Python objects at a time, so that a batch of long texts stays small in memory.
-SLICE_ROWS = 256
+#: Bytes of an Arrow batch that are turned into Python objects at a time, so that a batch of long texts stays small in memory; a longer row comes alone.
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset (local tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, one of our own if Spark runs in this process alone; on a cluster an error, as no folder of one machine is safe there."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="larder-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -48,24 +53,38 @@ def crc_mod(column: str, divisor: int) -> F.Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % divisor
 
 
+def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of about `limit` bytes of text at most, longer rows alone."""
+    sizes = np.full(batch.num_rows, 64, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+            sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    upto, at = np.cumsum(sizes), 0
+    while at < batch.num_rows:
+        to = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + limit, side="right"))
+        to = max(to, at + 1)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def map_rows(
     df: DataFrame,
     columns: list[str],
     schema: T.StructType,
     start: Callable[[], Callable[..., Iterable[tuple]]],
+    limit: int = SLICE_BYTES,
 ) -> DataFrame:
-    """Arrow batches in, Arrow batches out, a few rows in memory at a time.
+    """Arrow batches in, Arrow batches out, about `limit` bytes of texts in memory at a time.
 
     `start()` runs once per task and gives a function that takes the lists of the
-    chosen columns' values for a few rows and returns the output rows as tuples.
+    chosen columns' values for some rows and returns the output rows as tuples.
     """
     arrow = pa.schema([(f.name, _arrow_type(f.dataType)) for f in schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         handle = start()
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
+            for part in slices(batch, limit):
                 rows = list(handle(*(part.column(i).to_pylist() for i in range(part.num_columns))))
                 cells = zip(*rows) if rows else [()] * len(arrow)
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cells, arrow)], schema=arrow)
@@ -80,8 +99,7 @@ def filter_rows(df: DataFrame, column: str, start: Callable[[], Callable[[str |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = start()
         for batch in batches:
-            for k in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(k, SLICE_ROWS)
+            for part in slices(batch):
                 yield part.filter(pa.array([bool(keep(v)) for v in part.column(at).to_pylist()], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
@@ -94,8 +112,7 @@ def replace_texts(df: DataFrame, column: str, start: Callable[[], Callable[[str]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = start()
         for batch in batches:
-            for k in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(k, SLICE_ROWS)
+            for part in slices(batch):
                 texts = pa.array([None if v is None else new(v) for v in part.column(at).to_pylist()], part.schema.field(at).type)
                 yield pa.RecordBatch.from_arrays([texts if j == at else part.column(j) for j in range(part.num_columns)], schema=part.schema)
 
@@ -111,5 +128,10 @@ def _arrow_type(kind: T.DataType) -> pa.DataType:
     return simple[kind.simpleString()]
 
 
+def id_type(df: DataFrame, id_col: str) -> str:
+    """The type of the ids, as they are: results carry it on."""
+    return df.schema[id_col].dataType.simpleString()
+
+
 def schema_of(ddl: str) -> T.StructType:
     return T._parse_datatype_string(ddl) if hasattr(T, "_parse_datatype_string") else T.StructType.fromDDL(ddl)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.llm.common import SLICE_ROWS, map_rows, schema_of
+from larder.llm.common import id_type, map_rows, schema_of, slices
 
 KEEP_WORDS = 500_000
 _MIX = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)]
@@ -124,7 +124,7 @@ def fingerprint_documents(df: DataFrame, id_col: str = "doc_id", text_col: str =
 
         return rows
 
-    return map_rows(df, [id_col, text_col], schema_of(f"{id_col} bigint, fingerprint string, n_shingles double"), start)
+    return map_rows(df, [id_col, text_col], schema_of(f"{id_col} {id_type(df, id_col)}, fingerprint string, n_shingles double"), start)
 
 
 def merge_fingerprints(df: DataFrame, keys: list[str], k: int = 128, fingerprint: str = "fingerprint") -> DataFrame:
@@ -205,8 +205,7 @@ def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
             return i, len(text), hashlib.sha256(other.encode()).hexdigest(), to_text(mine), to_text(its), resemblance(mine, its, k), resemblance(mine, own, k)
 
         for batch in batches:
-            for start in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(start, SLICE_ROWS)
+            for part in slices(batch):
                 rows = []
                 for i, text, p, tail in zip(*(part.column(c).to_pylist() for c in range(4))):
                     if tail and in_tail == p:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import map_rows, schema_of
+from larder.llm.common import id_type, map_rows, schema_of
 
 BITS = 20
 BUCKETS = 1 << BITS
@@ -197,5 +197,5 @@ def score(df: DataFrame, weights: np.ndarray, kind: str, id_col: str = "doc_id",
         one = scorer(sent.value, kind)
         return lambda ids, texts: ((i, one(t or "")) for i, t in zip(ids, texts))
 
-    return map_rows(df, [id_col, text_col], schema_of(f"{id_col} bigint, score double"), start)
+    return map_rows(df, [id_col, text_col], schema_of(f"{id_col} {id_type(df, id_col)}, score double"), start)
 

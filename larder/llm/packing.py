@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.llm.bpe import byte_letters
-from larder.llm.common import map_rows, public_tokenizer, schema_of, staged
+from larder.llm.common import id_type, map_rows, public_tokenizer, schema_of, staged
 
 
 class ByteEncoder:
@@ -76,7 +76,7 @@ def pieces_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", cap
 
         return rows
 
-    return map_rows(df, [id_col, text_col], schema_of(f"{id_col} bigint, piece int, start bigint, length bigint, ids_crc32 bigint"), start)
+    return map_rows(df, [id_col, text_col], schema_of(f"{id_col} {id_type(df, id_col)}, piece int, start bigint, length bigint, ids_crc32 bigint"), start)
 
 
 def best_fit_plan(
@@ -214,4 +214,4 @@ def pack(
 
         return rows
 
-    return map_rows(ranked, [*columns, "rank"], schema_of(f"{id_col} bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"), start)
+    return map_rows(ranked, [*columns, "rank"], schema_of(f"{id_col} {id_type(df, id_col)}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"), start)

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from larder.llm import bpe
-from larder.llm.common import map_rows, public_tokenizer, schema_of
+from larder.llm.common import id_type, map_rows, public_tokenizer, schema_of
 
 #: Fixed values of this vocabulary: the pattern of its pre-tokenizer and Unicode white space.
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -174,4 +174,4 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         return rows
 
-    return map_rows(df, [id_col, text_col], schema_of(f"{id_col} bigint, n_bytes bigint, n_tokens bigint, over_limit boolean"), start)
+    return map_rows(df, [id_col, text_col], schema_of(f"{id_col} {id_type(df, id_col)}, n_bytes bigint, n_tokens bigint, over_limit boolean"), start)

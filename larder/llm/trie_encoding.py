@@ -1,14 +1,17 @@
 """BPE encoding and decoding by prefix-sharing traversal of a trie of distinct words.
 
-The distinct words of a batch go into a trie over base symbols. A depth-first walk
-carries, for each node, the last token of the node's prefix and the positions from
-which a token may still be under way, so a prefix that thousands of words share is
-encoded once. Encodings of whole words are kept between batches up to a bound, and
-documents are put together from them.
-
-A null text counts as the empty text. Empty or all-blank texts give no ids and the
-hash of nothing. Repeated rows and repeated doc_ids each give their own row, and
-columns other than the id and the text are ignored, whatever their names.
+The distinct words of a batch that are not known yet go into a trie: sorted, they are the
+trie in depth-first order, and the branch that leads to the present node is a stack. For
+each node the stack holds the last token of the node's prefix, so a prefix that thousands
+of words share is encoded once, and a word's encoding is read back along its branch.
+Encodings of words are kept between batches up to a number of bytes, and documents are
+put together from them. A batch is bounded in bytes, whatever the lengths of its texts.
+
+A null text counts as the empty text. Empty or all-blank texts give no ids and the hash
+of nothing; an empty table gives no rows. Long texts and long words need time and memory
+in proportion to their length. The encoding of a text is unique, so ties do not arise.
+Repeated rows and repeated doc_ids each give their own row, and columns other than the id
+and the text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,112 +19,102 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import filterfalse
+from struct import pack
 
 import regex
 from pyspark.sql import DataFrame
 
 from larder.llm import bpe
-from larder.llm.common import map_rows, public_tokenizer, schema_of
+from larder.llm.common import id_type, map_rows, public_tokenizer, schema_of
 
-#: Fixed values of this vocabulary: its pre-tokenizer's pattern and Unicode white space.
+#: Fixed values of this vocabulary: its pre-tokenizer's pattern, the same for ASCII texts in lower case, and Unicode white space.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-WHITE = r"\t-\r \x85\xa0  -     　"
-SPLIT = re.compile(f"[{WHITE}]+")
-#: Characters that str.split() takes for white space and Unicode does not.
+ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
+#: Characters that the pattern above takes for white space and Unicode does not.
 SEPARATORS = re.compile("[\x1c-\x1f]")
-#: Distinct chunks of text whose encodings a Python worker keeps.
-KEEP_CHUNKS = 200_000
+#: Bytes of text encoded together, and of words whose encodings a Python worker keeps.
+BATCH_BYTES = 4 << 20
+KEEP_BYTES = 8 << 20
 
 
 class TrieEncoder:
-    """Encodes texts of a word-level BPE vocabulary; chunks between white space are encoded once."""
+    """Encodes texts of a word-level BPE vocabulary."""
 
     def __init__(self, path: str):
         self.model = bpe.load(path)
-        self.chunks: dict[str, tuple[bytes, str]] = {}
+        self.known: dict[str, tuple[bytes, str]] = {}
+        self.kept_bytes = 0
         names = sorted(self.model.specials, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
 
-    def normal(self, text: str) -> list[str]:
-        """Chunks between white space of the normalised text: NFC, lower case letter by letter."""
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        text = text.lower()
-        return [c for c in SPLIT.split(text) if c] if SEPARATORS.search(text) else text.split()
-
-    def learn(self, chunks: Iterable[str]) -> None:
-        """Encode the chunks not yet known: their distinct words go into one trie."""
-        new = {c: WORD.findall(c) for c in set(chunks).difference(self.chunks)}
+    def words(self, text: str) -> list[str]:
+        """The words of the normalised text: NFC, lower case letter by letter."""
+        if text.isascii():
+            return ASCII_WORD.findall(text.lower())
+        return WORD.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+
+    def learn(self, texts: list[list[str]]) -> None:
+        """Encode the words not known yet; beyond the bound only the words of this batch are kept."""
+        new: set[str] = set()
+        for words in texts:
+            new.update(filterfalse(self.known.__contains__, words))
         if not new:
             return
-        if len(self.chunks) + len(new) > KEEP_CHUNKS:
-            self.chunks.clear()
-            new |= {c: WORD.findall(c) for c in set(chunks).difference(new)}
-        words = self.walk({w for parts in new.values() for w in parts})
-        strings = self.model.strings
-        for chunk, parts in new.items():
-            ids = [i for w in parts for i in words[w]]
-            self.chunks[chunk] = b"".join(i.to_bytes(4, "little") for i in ids), " ".join([strings[i] for i in ids])
-
-    def walk(self, words: set[str]) -> dict[str, list[int]]:
-        """Insert the words into a trie and carry last-token states depth first."""
-        model, trie = self.model, {}
-        for word in words:
-            node = trie
-            for s in model.bytes_to_symbols(word.encode()):
-                node = node.setdefault(s, {})
-            node[-1] = word
-        children, token_at, fits = model.children, model.token, model.fits
-        out: dict[str, list[int]] = {}
-        # an entry: vocabulary node reached since a start, encoding before that start as (earlier, last token)
-        stack = [(trie, ((bpe.ROOT, None),))]
-        while stack:
-            node, entries = stack.pop()
-            for symbol, below in node.items():
-                if symbol == -1:
-                    continue
-                encoding, going = None, []
-                for at, before in entries:
-                    to = children[at].get(symbol)
-                    if to is None:
-                        continue
-                    token = token_at[to]
-                    if encoding is None and token is not None and (before is None or fits(before[1], token)):
-                        encoding = (before, token)
-                    if children[to]:
-                        going.append((to, before))
-                going.append((bpe.ROOT, encoding))
-                if -1 in below:
-                    ids, at = [], encoding
-                    while at is not None:
-                        at, token = at
-                        ids.append(token)
-                    out[below[-1]] = ids[::-1]
-                    if len(below) == 1:
-                        continue
-                stack.append((below, tuple(going)))
-        return out
-
-    def segments(self, text: str) -> list[tuple[str | None, list[str]]]:
-        """Runs of chunks, and the special tokens that stand between them."""
+        if self.kept_bytes > KEEP_BYTES:
+            still = set().union(*texts) - new
+            self.known = {w: self.known[w] for w in still if w in self.known}
+            self.kept_bytes = sum(map(len, still))
+        self.walk(new)
+        self.kept_bytes += sum(map(len, new))
+
+    def walk(self, words: Iterable[str]) -> None:
+        """Depth first through the trie of the words."""
+        model, known = self.model, self.known
+        step, ends, beside, fits, first, final, named, sizes = model.step, model.ends, model.beside, model.fits, model.first, model.final, model.strings, model.sizes
+        nodes, last, before = [bpe.ROOT], [-1], b""
+        for raw, word in sorted([(w.encode(), w) for w in words]):
+            n = len(raw) - 1
+            depth, most = 0, min(n, len(before))
+            while depth < most and raw[depth] == before[depth]:
+                depth += 1
+            del nodes[depth + 1 :], last[depth + 1 :]
+            node = nodes[depth]
+            for at in range(depth, n + 1):
+                node = step[node][first[raw[at]] if at < n else final[raw[at]]]
+                for token, size in ends[node]:
+                    if size > at or (beside[last[at + 1 - size]][token] if token in beside[last[at + 1 - size]] else fits(last[at + 1 - size], token)):
+                        break
+                nodes.append(node)
+                last.append(token)
+            found, at = [], n + 1
+            while at:
+                found.append(last[at])
+                at -= sizes[last[at]]
+            found.reverse()
+            known[word] = pack(f"<{len(found)}I", *found), " ".join([named[i] for i in found])
+            nodes.pop()
+            last.pop()
+            before = raw[:n]
+
+    def segments(self, text: str) -> list[str | list[str]]:
+        """Runs of words, and the special tokens, as strings, that stand between them."""
         if self.special is None or not self.special.search(text):
-            return [(None, self.normal(text))]
-        return [(p, []) if p in self.model.specials else (None, self.normal(p)) for p in self.special.split(text)]
+            return [self.words(text)]
+        return [p if p in self.model.specials else self.words(p) for p in self.special.split(text)]
 
-    def encode_batch(self, texts: list[str]) -> list[tuple[bytes, str]]:
+    def encode_batch(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
         """For each text its ids as little-endian 32-bit integers, and the decoded text."""
         split = [self.segments(t) for t in texts]
-        self.learn([c for parts in split for _, chunks in parts for c in chunks])
-        out = []
+        self.learn([words for parts in split for words in parts if isinstance(words, list)])
+        known, specials = self.known, self.model.specials
         for parts in split:
-            if len(parts) == 1:
-                found = [self.chunks[c] for c in parts[0][1]]
-            else:
-                found = [x for name, chunks in parts for x in ([(self.model.specials[name].to_bytes(4, "little"), name)] if name else [self.chunks[c] for c in chunks])]
-            out.append((b"".join([x[0] for x in found]), " ".join([x[1] for x in found])))
-        return out
+            found = []
+            for p in parts:
+                found += [(specials[p].to_bytes(4, "little"), p)] if isinstance(p, str) else [known[w] for w in p]
+            yield b"".join([x[0] for x in found]), " ".join([x[1] for x in found])
 
 
 @lru_cache(maxsize=2)
@@ -137,7 +130,7 @@ def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         coder = encoder(tokenizer or public_tokenizer("word_bpe_49k.json"))
         return lambda ids, texts: [(i, *x) for i, x in zip(ids, coder.encode_batch([t or "" for t in texts]))]
 
-    return map_rows(df, [id_col, text_col], schema_of(f"{id_col} bigint, ids binary, decoded string"), start)
+    return map_rows(df, [id_col, text_col], schema_of(f"{id_col} {id_type(df, id_col)}, ids binary, decoded string"), start, BATCH_BYTES)
 
 
 def encoding_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
@@ -152,4 +145,4 @@ def encoding_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
         return rows
 
-    return map_rows(df, [id_col, text_col], schema_of(f"{id_col} bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"), start)
+    return map_rows(df, [id_col, text_col], schema_of(f"{id_col} {id_type(df, id_col)}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"), start, BATCH_BYTES)
