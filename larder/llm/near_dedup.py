@@ -102,7 +102,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, size: int, groups: int
 
 def row_hash(df: DataFrame) -> Column:
     """A 64-bit hash of all columns, nulls told from other values."""
-    cells = [F.to_json(c) if "map<" in kind else F.col(c) for c, kind in df.dtypes]
+    cells = [F.to_json(F.col(f"`{c}`")) if "map<" in kind else F.col(f"`{c}`") for c, kind in df.dtypes]
     return F.xxhash64(*cells, *(F.isnull(c) for c in cells))
 
 
@@ -231,14 +231,15 @@ def near_duplicates(
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows that are kept, one of each component, with their columns as they were. Rows without shingles all stay."""
+    """The rows that are kept, one of each component, with their columns as they were, whatever their names. Rows without shingles all stay."""
     # rows alike in all columns share (id, row): such a group goes, stays, or has one row that stays
     groups = judged(df, id_col, text_col, size, percent).groupBy("id", "row").agg(F.count("*").alias("n"), F.count_if("kept").alias("stay"))
-    cut = staged(groups.filter("stay < n").select(F.col("id").alias("_cut_id"), F.col("row").alias("_cut_row"), "stay"), "near-cut")
-    keyed = df.withColumn("_row", row_hash(df))
-    same = F.col(id_col).eqNullSafe(F.col("_cut_id")) & (F.col("_row") == F.col("_cut_row"))
+    cut = staged(groups.filter("stay < n").select(F.col("id").alias("cut_id"), F.col("row").alias("cut_row"), "stay"), "near-cut")
+    own = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+    keyed = df.select(own.alias("own"), F.col(id_col).alias("own_id"), row_hash(df).alias("own_row"))
+    same = F.col("own_id").eqNullSafe(F.col("cut_id")) & (F.col("own_row") == F.col("cut_row"))
     out = keyed.join(cut, same, "left_anti")
     repeated = cut.filter("stay > 0")
     if repeated.limit(1).count():
-        out = out.unionByName(keyed.join(repeated, same, "left_semi").dropDuplicates([id_col, "_row"]))
-    return out.select(*df.columns)
+        out = out.unionByName(keyed.join(repeated, same, "left_semi").dropDuplicates(["own_id", "own_row"]))
+    return out.select(*(F.col("own").getField(c).alias(c) for c in df.columns))

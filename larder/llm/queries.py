@@ -62,17 +62,23 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_toxicity, op3_secret_scan, op4_personal_data, op5_near_dedup, op6_bpe_encoding, op7_fingerprints, op8_quality_rules, op9_token_counts, op10_best_fit_packing)}
 
-#: The ratios of the quality rules and the floors of their fences, as SQL.
+#: The ratios of the quality rules as SQL.
 _RATIOS = {"symbol_ratio": "n_symbols / chars", "dup_line_ratio": "n_dup_lines / words", "repeat_ratio": "n_repeat_words / words", "mean_word": "word_chars / words", "upper_ratio": "n_upper / chars"}
-_FENCES = """{name} AS (SELECT {keys}ratio, max(total) AS total, greatest(max(floor), max(q3) + {fence} * (max(q3) - max(q1))) AS fence FROM (
-  SELECT {keys}ratio, total, floor, min(CASE WHEN upto >= 0.25 * total THEN value END) OVER (PARTITION BY {keys}ratio) AS q1, min(CASE WHEN upto >= 0.75 * total THEN value END) OVER (PARTITION BY {keys}ratio) AS q3 FROM (
-    SELECT {keys}ratio, floor, coalesce(pow({growth}, bucket - 0.5), 0.0) AS value, sum(n) OVER (PARTITION BY {keys}ratio ORDER BY bucket ASC NULLS FIRST) AS upto, sum(n) OVER (PARTITION BY {keys}ratio) AS total
-    FROM (SELECT {keys}ratio, floor, bucket, sum(n) AS n FROM sketch GROUP BY ALL))) GROUP BY ALL)"""
+
+
+def _fences_sql(name: str, keys: str) -> str:
+    q = quality_rules
+    fence = lambda k: f"max(mid) FILTER (measure = '{k}') + {q.FENCE} * ({q.GROWTH} * max(mid) FILTER (measure = '{k}') - max(low) FILTER (measure = '{k}') + {q.RATIOS[k][1]} / max(median) FILTER (measure = '{q.RATIOS[k][0]}')) AS {k}"
+    return f"""{name} AS (SELECT {keys}max(total) AS total, {", ".join(map(fence, _RATIOS))} FROM (
+  SELECT {keys}measure, max(total) AS total, min(value) FILTER (upto >= {q.LOW} * total) AS low, min(value) FILTER (upto >= {q.MID} * total) AS mid, min(value) FILTER (upto >= 0.5 * total) AS median FROM (
+    SELECT {keys}measure, coalesce(pow({q.GROWTH}, bucket - 0.5), 0.0) AS value, sum(n) OVER (PARTITION BY {keys}measure ORDER BY bucket ASC NULLS FIRST) AS upto, sum(n) OVER (PARTITION BY {keys}measure) AS total
+    FROM (SELECT {keys}measure, bucket, sum(n) AS n FROM sketch GROUP BY ALL)) GROUP BY ALL) GROUP BY ALL)"""
 
 
 def _quality_sql() -> str:
-    values = " UNION ALL ".join(f"SELECT doc_id, lang, source, '{k}' AS ratio, {quality_rules.RATIOS[k]} AS floor, {v} AS value FROM r" for k, v in _RATIOS.items())
-    fence = lambda name, keys: _FENCES.format(name=name, keys=keys, fence=quality_rules.FENCE, growth=quality_rules.GROWTH)
+    q = quality_rules
+    values = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS measure, {v} AS value FROM r WHERE NOT base_failed" for k, v in {**_RATIOS, "words": "words", "chars": "chars"}.items())
+    lean = lambda own, other, k: f"({own}.total * {own}.{k} + {q.PRIOR_ROWS} * {other}.{k}) / ({own}.total + {q.PRIOR_ROWS}) AS {k}"
     return f"""WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS ws FROM documents),
   g AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) > 2)),
   twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g) WHERE n > 1),
@@ -80,14 +86,14 @@ def _quality_sql() -> str:
   l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^ \\t\\n\\x0B\\f\\r]') GROUP BY doc_id),
   m AS (SELECT doc_id, lang, source, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(l.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper
     FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN l USING (doc_id)),
-  r AS (SELECT *, nullif(n_words, 0)::DOUBLE AS words, nullif(word_chars, 0)::DOUBLE AS chars FROM m),
+  r AS (SELECT *, nullif(n_words, 0)::DOUBLE AS words, nullif(word_chars, 0)::DOUBLE AS chars, n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM m),
   v AS ({values}),
-  sketch AS (SELECT lang, source, ratio, floor, CASE WHEN value > 0 THEN ceil(ln(value) / ln({quality_rules.GROWTH})) END AS bucket, count(*) AS n FROM v WHERE value IS NOT NULL GROUP BY ALL),
-  {fence("own", "lang, source, ")}, {fence("by_lang", "lang, ")}, {fence("whole", "")},
-  verdict AS (SELECT v.doc_id, bool_or(v.value > CASE WHEN own.total >= {quality_rules.LEAST_ROWS} THEN own.fence WHEN by_lang.total >= {quality_rules.LEAST_ROWS} THEN by_lang.fence ELSE whole.fence END) AS beyond
-    FROM v JOIN own ON v.lang IS NOT DISTINCT FROM own.lang AND v.source IS NOT DISTINCT FROM own.source AND v.ratio = own.ratio JOIN by_lang ON v.lang IS NOT DISTINCT FROM by_lang.lang AND v.ratio = by_lang.ratio JOIN whole ON v.ratio = whole.ratio GROUP BY v.doc_id),
-  f AS (SELECT *, n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > {quality_rules.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM m)
-  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(beyond, FALSE) AS kept FROM f LEFT JOIN verdict USING (doc_id)"""
+  sketch AS (SELECT lang, source, measure, CASE WHEN value > 0 THEN ceil(ln(value) / ln({q.GROWTH})) END AS bucket, count(*) AS n FROM v WHERE value IS NOT NULL GROUP BY ALL),
+  {_fences_sql("own", "lang, source, ")}, {_fences_sql("of_lang", "lang, ")}, {_fences_sql("corpus", "")},
+  lang_limits AS (SELECT of_lang.lang, {", ".join(lean("of_lang", "corpus", k) for k in _RATIOS)} FROM of_lang, corpus),
+  limits AS (SELECT own.lang, own.source, {", ".join(lean("own", "lang_limits", k) for k in _RATIOS)} FROM own JOIN lang_limits ON own.lang IS NOT DISTINCT FROM lang_limits.lang)
+  SELECT r.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({" OR ".join(f"coalesce({v} > limits.{k}, FALSE)" for k, v in _RATIOS.items())}) AS kept
+  FROM r LEFT JOIN limits ON r.lang IS NOT DISTINCT FROM limits.lang AND r.source IS NOT DISTINCT FROM limits.source"""
 
 
 #: SQL for DuckDB where SQL can express the operator; the others are tested against brute force in tests/llm.

@@ -10,7 +10,7 @@ def docs(spark):
     long = " ".join(f"{WORDS} {k}" for k in range(3000))
     texts = [(1, WORDS), (2, None), (3, ""), (4, " \n\t "), (5, WORDS), (5, WORDS), (6, long), (None, "no id here"), (7, "don't STOP <|endoftext|> Straße 日本語 😀"), (8, "x" * 6000)]
     df = spark.createDataFrame([(i, t, "en" if (i or 0) % 2 else None, None if i == 1 else "s", len(t or "")) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
-    return df.withColumns({"score": F.lit("?"), "kept": F.lit(7), "length": F.lit("l"), "key": F.lit("k"), "n": F.lit(0), "id": F.lit("i"), "c": F.lit("c"), "rank": F.lit(None).cast("string")})
+    return df.withColumns({"score": F.lit("?"), "kept": F.lit(7), "length": F.lit("l"), "key": F.lit("k"), "n": F.lit(0), "id": F.lit("i"), "c": F.lit("c"), "rank": F.lit(None).cast("string"), "row": F.lit("r"), "m": F.lit(1), "_m": F.lit(1), "_lang": F.lit("l"), "_source": F.lit("s"), "_gone": F.lit(0), "_row": F.lit(0), "of": F.lit("o"), "stay": F.lit(0), "a.b": F.lit("dot")})
 
 
 @pytest.fixture

@@ -183,17 +183,51 @@ def test_quality_measures(spark, docs, empty):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} <= {6}
 
 
+def prose(rng, n=80, size=(4, 5), symbols=0):
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.choice(size)))
+    return " ".join(word() + "#" * (k < symbols) for k in range(n))
+
+
+def verdicts(spark, rows):
+    return {r["doc_id"]: r["kept"] for r in quality_rules.rule_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+
+
 def test_quality_thresholds_adapt(spark):
+    """Every language and source has limits of its own: what is usual in one is rejected in another."""
     rng = random.Random(7)
-    rows = []
-    for k in range(400):
-        lang = "en" if k % 2 else "xx"
-        word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4 if lang == "en" else 14))  # noqa: E731, B023
-        rows.append((k, " ".join(word() for _ in range(80)), lang, "s"))
-    rows.append((1000, " ".join("".join(rng.choice("abcdefgh") for _ in range(14)) for _ in range(80)), "en", "s"))
-    rows.append((1001, " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) + "###" for _ in range(80)), "xx", "rare"))
-    got = {r["doc_id"]: r["kept"] for r in quality_rules.rule_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
-    assert all(got[k] for k in range(400)) and not got[1000] and not got[1001]
+    form = lambda times: prose(rng, 300) + " one two three four" * times
+    rows = [(k, prose(rng, 300, size=(4, 5) if k % 2 else (13, 14)), "en" if k % 2 else "xx", "s") for k in range(600)]
+    rows += [(1000 + k, prose(rng, 300, symbols=rng.randrange(30, 60)), "en", "code") for k in range(300)]  # symbols are usual here
+    rows += [(2000 + k, form(rng.randrange(10, 20)), "en", "forms") for k in range(300)]  # and repetitions here
+    odd = [(5000, prose(rng, size=(13, 14)), "en", "s"), (5001, prose(rng, symbols=80), "xx", "rare"), (5002, prose(rng, 300, symbols=50), "en", "s"), (5003, prose(rng, 300, symbols=50), "en", "code")]
+    odd += [(5004, form(30), "en", "s"), (5005, form(30), "en", "forms")]
+    got = verdicts(spark, rows + odd)
+    assert all(got[i] for i, *_ in rows)
+    assert [got[5000 + k] for k in range(6)] == [False, False, False, True, False, True]
+
+
+@pytest.mark.parametrize("junk", [30, 48])
+def test_bad_sources_do_not_hide_themselves(spark, junk):
+    """A source that holds most rows and is a third to nearly a half junk: the junk goes, the rest stays; and a lone row of a new source leans on the others."""
+    rng = random.Random(junk)
+    rows = [(k, prose(rng), "en", f"s{k % 3}") for k in range(90)]
+    rows += [(1000 + k, prose(rng, symbols=rng.randrange(20, 60)) if k % 100 < junk else prose(rng), "en", "hot") for k in range(600)]
+    rows += [(5000, prose(rng), "en", "new"), (5001, prose(rng, symbols=40), "en", "new"), (5002, prose(rng), None, None)]
+    got = verdicts(spark, rows)
+    assert all(got[k] for k in range(90)) and all(got[1000 + k] == (k % 100 >= junk) for k in range(600))
+    assert got[5000] and not got[5001] and got[5002]
+
+
+def test_good_documents_are_left_alone(spark):
+    """Of the given tables' documents of good quality that the base rules pass, nearly all stay, and the bad ones go."""
+    base = "/root/testdata/sf0.1"
+    try:
+        docs, labels = (spark.read.parquet(f"{base}/{t}.parquet") for t in ("documents", "labels"))
+    except Exception:
+        pytest.skip("the given tables are not here")
+    judged = quality_rules.rule_verdicts(docs).filter("NOT base_failed").join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept"), F.count("*").alias("n"))
+    kept = {r["quality"]: r["kept"] for r in judged.collect()}
+    assert kept[1] > 0.99 and kept[0] < 0.05
 
 
 def test_sketches_merge(spark):
@@ -202,8 +236,8 @@ def test_sketches_merge(spark):
     whole = quality_rules.sketch(df, [], {"mean_word": F.col("v")})
     merged = quality_rules.merge_sketches(s, [])
     assert sorted(map(tuple, merged.collect()), key=str) == sorted(map(tuple, whole.select(*merged.columns).collect()), key=str)
-    fence = quality_rules.fences(whole, []).first()
-    assert abs(fence["fence"] / (750 + quality_rules.FENCE * 500) - 1) < 0.06
+    found = quality_rules.quantiles(whole, []).first()
+    assert found["rows"] == 1000 and all(abs(found[k] / v - 1) < 0.06 for k, v in (("low", 100), ("mid", 400), ("median", 500)))
 
 
 def test_leader_and_scores(spark):
