@@ -1,38 +1,47 @@
 """Token counts by a compiled finite-state transducer.
 
-The byte-level BPE vocabulary is compiled, on demand, into a deterministic
-transducer: a state says which vocabulary tokens may be under way and what the last
-token was before each; a transition on a byte carries the change that it makes to
-the number of tokens. A chunk of text becomes a map from the state before it to the
-state after it together with the tokens between; maps compose associatively, so a
-document's count is a prefix scan over its chunks in any grouping. Between a visible
-character and white space every state becomes the start state, so the map of a
-stretch between two such places is constant and is computed once per distinct stretch.
+The byte-level BPE vocabulary is compiled, on demand, into a deterministic transducer: a
+state, numbered as it is met, says which vocabulary tokens may be under way and what the
+last token was before each; a transition on a byte carries the change that it makes to
+the number of tokens.
+
+Spark cuts every text into chunks of about CHUNK_CHARS characters, a row each. A chunk
+becomes its state map, rows of (state before, state after, tokens between), and a
+document's maps are composed in order by an aggregate. Cuts are laid where white space
+follows a visible character: there every state becomes the start state, START, so of a
+chunk's map only the entry of START can occur, and any grouping of the chunks gives the
+same count. A run without such a place is not cut, however long; it is read byte by byte
+in bounded memory. Within a chunk the stretches between such places are looked up if they
+are short and were met before.
 
 A null text counts as the empty text: 0 bytes, 0 tokens. Rows are independent, so
-repeated rows and ids give repeated results; further columns are ignored.
+repeated rows and ids give repeated results; an empty table gives no rows; long texts
+take the same path as short ones, a chunk at a time; counts are unique, so ties do not
+arise; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from larder.llm import bpe
 from larder.llm.common import id_type, map_rows, public_tokenizer, schema_of
 
 #: Fixed values of this vocabulary: the pattern of its pre-tokenizer and Unicode white space.
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-WHITE = r"\t-\r \x85\xa0  -     　"
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A stretch starts where white space follows a visible character.
 STRETCH = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-#: Documents longer than this are mapped chunk by chunk.
-CHUNK_CHARS = 65_536
-KEEP_STRETCHES = 1_000_000
+CHUNK_CHARS = 16_384
+START = 0
+#: Characters of stretches, and states, that a Python worker keeps; longer stretches are counted each time.
+KEEP_CHARS = 8 << 20
+LONGEST_KEPT = 64
 KEEP_STATES = 300_000
 
 
@@ -83,76 +92,61 @@ class Transducer:
         return total
 
 
-@dataclass(frozen=True)
-class ChunkMap:
-    """What a chunk does to any state: `head` is read from the state before it up to the first place where states meet, `count` tokens lie between the first such place and the last, and reading `tail` from the start gives the state after. Without such a place, `tail` is None and `head` is the chunk."""
-
-    head: str
-    count: int = 0
-    tail: str | None = None
-
-
 class TokenCounter:
     def __init__(self, path: str):
         self.transducer = Transducer(path)
         self.stretches: dict[str, int] = {}
+        self.kept_chars = 0
         names = sorted(self.transducer.model.specials, key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, names))) if names else None
 
     def stretch(self, s: str) -> int:
         known = self.stretches.get(s)
         if known is None:
-            if len(self.stretches) >= KEEP_STRETCHES:
-                self.stretches.clear()
-            known = self.stretches[s] = sum(self.transducer.count(w.encode()) for w in PRE_TOKEN.findall(s))
+            known = sum(self.transducer.count(w.encode()) for w in PRE_TOKEN.findall(s))
+            if len(s) <= LONGEST_KEPT:
+                if self.kept_chars > KEEP_CHARS:
+                    self.stretches.clear()
+                    self.kept_chars = 0
+                self.stretches[s] = known
+                self.kept_chars += len(s)
         return known
 
     def closed(self, text: str) -> int:
-        """Tokens of a text that starts and ends at places where states meet."""
+        """Tokens of a text that starts and ends at places where all states become START."""
         parts = STRETCH.findall(text)
         try:
             return sum(map(self.stretches.__getitem__, parts))
         except KeyError:
             return sum(map(self.stretch, parts))
 
-    def chunk(self, text: str) -> ChunkMap:
-        parts = STRETCH.findall(text)
-        if len(parts) < 2:
-            return ChunkMap(text)
-        return ChunkMap(parts[0], sum(map(self.stretch, parts[1:-1])), parts[-1])
-
-    def compose(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
-        if a.tail is None:
-            met = self.chunk(a.head + b.head)
-            if b.tail is None:
-                return met
-            if met.tail is None:
-                return ChunkMap(met.head, b.count, b.tail)
-            return ChunkMap(met.head, met.count + self.closed(met.tail) + b.count, b.tail)
-        if b.tail is None:
-            met = self.chunk(a.tail + b.head)
-            if met.tail is None:
-                return ChunkMap(a.head, a.count, met.head)
-            return ChunkMap(a.head, a.count + self.closed(met.head) + met.count, met.tail)
-        return ChunkMap(a.head, a.count + self.closed(a.tail + b.head) + b.count, b.tail)
-
-    def total(self, m: ChunkMap) -> int:
-        return self.closed(m.head) + m.count + (self.closed(m.tail) if m.tail else 0)
-
-    def segment(self, text: str, chunk_chars: int = CHUNK_CHARS) -> int:
-        if len(text) <= chunk_chars:
-            return self.closed(text)
-        maps = [self.chunk(text[k : k + chunk_chars]) for k in range(0, len(text), chunk_chars)]
-        while len(maps) > 1:  # neighbours compose in rounds, as a parallel scan would
-            maps = [reduce(self.compose, maps[k : k + 2]) for k in range(0, len(maps), 2)]
-        return self.total(maps[0])
-
-    def count(self, text: str, chunk_chars: int = CHUNK_CHARS) -> int:
-        """Tokens as the tokenizers library counts them by default: special strings are one token each."""
-        if self.special is None or "<|" not in text or not self.special.search(text):
-            return self.segment(text, chunk_chars)
-        parts = self.special.split(text)
-        return len(parts) - 1 + sum(self.segment(p, chunk_chars) for p in parts)
+    def state_map(self, chunk: str) -> list[tuple[int, int, int]]:
+        """(state before, state after, tokens between) for the states that occur before a chunk. Special strings are one token each, as the tokenizers library has it by default."""
+        if self.special is None or "<|" not in chunk or not self.special.search(chunk):
+            return [(START, START, self.closed(chunk))]
+        parts = self.special.split(chunk)
+        return [(START, START, len(parts) - 1 + sum(map(self.closed, parts)))]
+
+
+def compose(a: list[tuple[int, int, int]], b: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The map of two chunks, one after the other."""
+    after = {q: (to, n) for q, to, n in b}
+    return [(q, after[mid][0], n + after[mid][1]) for q, mid, n in a if mid in after]
+
+
+def composed(maps: Column) -> Column:
+    """Tokens of a document from the ordered array of its chunks' maps, read from START."""
+
+    def follow(done: Column, chunk: Column) -> Column:
+        entry = F.element_at(F.filter(chunk["map"], lambda e: e["before"] == done["state"]), 1)
+        return F.struct(entry["after"].alias("state"), (done["n"] + entry["n"]).alias("n"))
+
+    return F.aggregate(maps, F.struct(F.lit(START).cast("long").alias("state"), F.lit(0).cast("long").alias("n")), follow)["n"]
+
+
+def cut(text: Column, chunk_chars: int = CHUNK_CHARS) -> Column:
+    """The text in chunks that end before white space or at the end: so many characters, and on to the next such place."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{chunk_chars}}}[{WHITE}]*[^{WHITE}]*"), F.lit(0))
 
 
 @lru_cache(maxsize=2)
@@ -161,17 +155,19 @@ def counter(path: str) -> TokenCounter:
     return TokenCounter(path)
 
 
-def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 512, tokenizer: str | None = None) -> DataFrame:
-    """(id, n_bytes, n_tokens, over_limit) of every row. No shuffle."""
+def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 512, tokenizer: str | None = None, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+    """(id, n_bytes, n_tokens, over_limit) of every row. Texts are read once and not shuffled, only the maps of their chunks are."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = df.select(F.col(id_col).alias("id"), F.octet_length(text).cast("long").alias("n_bytes"), F.monotonically_increasing_id().alias("row"), text.alias("text"))
+    chunks = rows.select("id", "n_bytes", "row", F.posexplode_outer(cut(F.col("text"), chunk_chars)).alias("chunk", "piece"))
 
     def start():
-        count = counter(tokenizer or public_tokenizer("byte_bpe_50k.json")).count
-
-        def rows(ids, texts):
-            for i, t in zip(ids, texts):
-                n = count(t) if t else 0
-                yield i, len(t.encode()) if t else 0, n, n > limit
-
-        return rows
-
-    return map_rows(df, [id_col, text_col], schema_of(f"{id_col} {id_type(df, id_col)}, n_bytes bigint, n_tokens bigint, over_limit boolean"), start)
+        state_map = counter(tokenizer or public_tokenizer("byte_bpe_50k.json")).state_map
+        entry = ("before", "after", "n")
+        return lambda *columns: ((*own, [dict(zip(entry, e)) for e in state_map(piece or "")]) for *own, piece in zip(*columns))
+
+    schema = schema_of(f"id {id_type(df, id_col)}, n_bytes bigint, row bigint, chunk int, map array<struct<before: bigint, after: bigint, n: bigint>>")
+    maps = map_rows(chunks, ["id", "n_bytes", "row", "chunk", "piece"], schema, start)
+    by_row = maps.groupBy("row").agg(F.first("id").alias("id"), F.first("n_bytes").alias("n_bytes"), F.sort_array(F.collect_list(F.struct("chunk", "map"))).alias("maps"))
+    counted = by_row.select(F.col("id").alias(id_col), "n_bytes", composed(F.col("maps")).alias("n_tokens"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -6,6 +6,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from larder.llm import bpe, packing, token_counts, trie_encoding
@@ -45,36 +46,51 @@ def test_trie_encoding_of_any_text(word, texts):
     check_word(texts, word)
 
 
+def plain_cuts(text, chunk):
+    """Chunks of so many characters, and on to where white space follows a visible character."""
+    white = lambda c: c.isspace() and c not in "\x1c\x1d\x1e\x1f"
+    out, at = [], 0
+    while at < len(text):
+        to = min(at + chunk, len(text))
+        while to < len(text) and white(text[to]):
+            to += 1
+        while to < len(text) and not white(text[to]):
+            to += 1
+        out.append(text[at:to])
+        at = to
+    return out
+
+
 @settings(max_examples=150, deadline=None)
 @given(odd, st.integers(1, 9))
 def test_counts_of_any_text_in_any_chunks(byte, text, chunk):
+    """Maps compose to the library's count, whatever the chunks and the grouping."""
     n = len(byte.encode(text, add_special_tokens=False).ids)
     counter = token_counts.counter(BYTE)
-    assert counter.count(text) == n and counter.count(text, chunk) == n
+    maps = [counter.state_map(p) for p in plain_cuts(text, chunk)] or [counter.state_map("")]
+    left, right = maps[0], maps[-1]
+    for m in maps[1:]:
+        left = token_counts.compose(left, m)
+    for m in maps[-2::-1]:
+        right = token_counts.compose(m, right)
+    assert left == right == [(token_counts.START, token_counts.START, n)]
+
+
+def test_spark_cuts_where_states_meet(spark):
+    texts = [*TEXTS, "a b\x85c\u3000 d e" * 3, "x" * 50 + " " * 30 + "y"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for chunk in (1, 3, 7):
+        assert [r[0] for r in df.select(token_counts.cut(F.col("t"), chunk)).collect()] == [plain_cuts(t, chunk) for t in texts]
 
 
 def test_counts_and_ids(byte):
     counter, coder = token_counts.counter(BYTE), packing.byte_encoder(BYTE)
     for text in TEXTS:
         ids = byte.encode(text, add_special_tokens=False).ids
-        assert counter.count(text) == counter.count(text, 5) == len(ids)
+        assert counter.state_map(text) == [(0, 0, len(ids))]
         assert coder.encode(text).tolist() == ids
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(odd, min_size=3, max_size=6))
-def test_maps_compose_in_any_grouping(parts):
-    c = token_counts.counter(BYTE)
-    maps = [c.chunk(p) for p in parts]
-    left = maps[0]
-    for m in maps[1:]:
-        left = c.compose(left, m)
-    right = maps[-1]
-    for m in maps[-2::-1]:
-        right = c.compose(m, right)
-    assert c.total(left) == c.total(right) == c.closed("".join(parts))
-
-
 def test_plain_merges_agree(byte):
     model = bpe.load(BYTE)
     for w in ("hello", "tokenization", "aaaaaaa", "é漢"):
@@ -89,14 +105,19 @@ def test_encoding_queries(docs, empty, word, byte):
         ids = word.encode(t, add_special_tokens=False).ids
         want.append((i, len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256(word.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
     assert sorted((r["doc_id"] or -1, *r[1:]) for r in rows) == sorted(want)
-    counts = token_counts.token_counts(docs).collect()
-    want = [(i, len(t.encode()), n := len(byte.encode(t, add_special_tokens=False).ids), n > 512) for i, t in texts]
-    assert sorted((r["doc_id"] or -1, *r[1:]) for r in counts) == sorted(want)
+    for chunk in (100, token_counts.CHUNK_CHARS):
+        counts = token_counts.token_counts(docs, chunk_chars=chunk).collect()
+        check_counts(counts, texts, byte)
     full = trie_encoding.encode_documents(docs).filter("doc_id = 1").first()
     assert len(full["ids"]) % 4 == 0 and full["decoded"].startswith("river")
     assert trie_encoding.encoding_digests(empty).collect() == token_counts.token_counts(empty).collect() == []
 
 
+def check_counts(counts, texts, byte):
+    want = [(i, len(t.encode()), n := len(byte.encode(t, add_special_tokens=False).ids), n > 512) for i, t in texts]
+    assert sorted((r["doc_id"] or -1, *r[1:]) for r in counts) == sorted(want)
+
+
 def check_packing(rows, capacity):
     bins = {}
     for r in rows:
