@@ -102,7 +102,7 @@ def filter_rows(df: DataFrame, column: str, start: Callable[[], Callable[[str |
             for part in slices(batch):
                 yield part.filter(pa.array([bool(keep(v)) for v in part.column(at).to_pylist()], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return _by_place(df, run)
 
 
 def replace_texts(df: DataFrame, column: str, start: Callable[[], Callable[[str], str]]) -> DataFrame:
@@ -116,7 +116,13 @@ def replace_texts(df: DataFrame, column: str, start: Callable[[], Callable[[str]
                 texts = pa.array([None if v is None else new(v) for v in part.column(at).to_pylist()], part.schema.field(at).type)
                 yield pa.RecordBatch.from_arrays([texts if j == at else part.column(j) for j in range(part.num_columns)], schema=part.schema)
 
-    return df.mapInArrow(run, df.schema)
+    return _by_place(df, run)
+
+
+def _by_place(df: DataFrame, run: Callable) -> DataFrame:
+    """mapInArrow over all columns, whatever their names: it resolves them by name, so they go under plain ones."""
+    plain = df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
 
 
 def _arrow_type(kind: T.DataType) -> pa.DataType:

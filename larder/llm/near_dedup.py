@@ -42,6 +42,10 @@ from larder.llm.fingerprints import mixed, shingle_hashes, word_hashes
 GROUPS, WIDTH = 9, 2
 #: Keys of at most so many members are settled in one round of blocks; larger keys have blocks that grow by this factor.
 SMALL, GROW = 32, 32
+#: Members of a key that are joined in one place: those of larger keys are dealt into parts.
+PART_MEMBERS = 256
+#: Rows of two numbers up to which a join side is sent to all tasks; beyond it both sides are shuffled.
+BROADCAST_ROWS = 500_000
 #: 64-bit words of a class's parity bitmap.
 BITMAP_WORDS = 16
 
@@ -115,6 +119,20 @@ def _alike_size(n: str, m: str, percent: int) -> Column:
     return (100 * F.least(F.col(n), F.col(m))) >= percent * F.greatest(F.col(n), F.col(m))
 
 
+def _parts() -> Column:
+    return F.ceil(F.col("in_key") / PART_MEMBERS)
+
+
+def own_part() -> Column:
+    """The part of its key that a member is in."""
+    return F.pmod(F.xxhash64("c", F.lit("part")), _parts())
+
+
+def every_part() -> Column:
+    """All parts of a key: what meets all members of a large key goes to each."""
+    return F.explode(F.sequence(F.lit(0).cast("long"), _parts() - 1)).alias("part")
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union. The often repeated pivots, a, are joined last, where Spark can split a skewed join."""
     b = sets.select(F.col("c").alias("b"), F.col("s").alias("sb"))
@@ -124,7 +142,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def components(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """Smallest label reachable over the edges, starting from labels (c, label): minimum over neighbours, then over the label's own label, until nothing changes."""
+    """Smallest label reachable over the edges, starting from labels (c, n, label): minimum over neighbours, then over the label's own label, until nothing changes."""
     ways = edges.select(F.col("a").alias("c"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("c"), F.col("a").alias("other")))
     known = labels.select(F.col("c").alias("other"), F.col("label").alias("near"))
     # between labels, not nodes: what is one component already is one node
@@ -140,7 +158,7 @@ def components(labels: DataFrame, edges: DataFrame) -> DataFrame:
         tree = new.select("x", "top")
         if not moved:
             break
-    return staged(labels.join(tree, labels["label"] == tree["x"], "left").select("c", F.coalesce("top", "label").alias("label")), "near-labels")
+    return staged(labels.join(tree, labels["label"] == tree["x"], "left").select("c", "n", F.coalesce("top", "label").alias("label")), "near-labels")
 
 
 def judged(df: DataFrame, id_col: str, text_col: str, size: int, percent: int, groups: int = GROUPS, width: int = WIDTH) -> DataFrame:
@@ -151,15 +169,17 @@ def judged(df: DataFrame, id_col: str, text_col: str, size: int, percent: int, g
     classes = docs.filter("c is not null").groupBy("c").agg(F.min("id").alias("first_id"), F.min(place).alias("first"), F.max("n_shingles").alias("n"), F.max("bands").alias("bands"), F.max("bitmap").alias("bitmap"))
     classes = staged(classes, "near-classes")
 
-    member = classes.select("c", "n", "first_id", tensored_keys(groups).alias("key"))
+    member = classes.select("c", tensored_keys(groups).alias("key"))
     shared = member.groupBy("key").agg(F.count("*").alias("in_key")).filter("in_key > 1")
     # `turn`, a hash of the class in [0, 1), says when a member becomes a pivot
     turn = F.pmod(F.xxhash64("c", F.lit("turn")), F.lit(1 << 30)) / (1 << 30)
-    members = staged(member.join(shared, "key").select("key", "in_key", "c", "n", "first_id", turn.alias("turn")), "near-members")
+    members = staged(member.join(shared, "key").select("key", "in_key", "c", turn.alias("turn")), "near-members")
 
-    wanted = members.select("c", "first_id").distinct()
+    wanted = staged(classes.select("c", "first_id", "n").join(members.select("c").distinct(), "c"), "near-wanted")
+    small = wanted.count() <= BROADCAST_ROWS
     every = df.select(F.col(id_col).alias("first_id"), F.col(text_col).alias("text"))
-    texts = every.join(wanted, "first_id")
+    sought = wanted.select("c", "first_id")
+    texts = every.join(F.broadcast(sought) if small else sought, "first_id")
 
     def start():
         def rows(cs, ts):
@@ -183,25 +203,25 @@ def judged(df: DataFrame, id_col: str, text_col: str, size: int, percent: int, g
     nameless = map_rows(every.filter("first_id is null"), ["text"], set_schema, start_nameless).join(wanted.filter("first_id is null").select("c"), "c", "left_semi")
     sets = staged(map_rows(texts, ["c", "text"], set_schema, start).unionByName(nameless.groupBy("c").agg(F.first("s").alias("s"))), "near-sets")
     bitmaps = staged(classes.select("c", "bitmap").join(wanted.select("c"), "c", "left_semi"), "near-bitmaps")
-    labels = staged(wanted.select("c", F.col("c").alias("label")).distinct(), "near-labels")
+    labels = wanted.select("c", "n", F.col("c").alias("label"))
 
-    open_rows, step = members.drop("first_id"), 0
+    open_rows, step = members, 0
     while True:
         told = open_rows.join(labels, "c")
-        spans = told.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-        told = staged(told.join(spans, "key", "left_semi"), "near-open")
+        spans = told.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("in_key").alias("in_key")).filter("low <> high")
+        told = staged(told.withColumn("part", own_part()).join(spans.select("key", every_part()), ["key", "part"], "left_semi"), "near-open")
         if not told.limit(1).count():
             break
         if step == 0:
-            pivot = told.groupBy("key").agg(F.min_by(F.struct("c", "n", "label"), "turn").alias("p")).select("key", F.col("p.c").alias("a"), F.col("p.n").alias("an"), F.col("p.label").alias("al"))
-            open_rows = told.drop("label")
+            pivot = told.groupBy("key").agg(F.min_by(F.struct("c", "n", "label"), "turn").alias("p"), F.max("in_key").alias("in_key")).select("key", every_part(), F.col("p.c").alias("a"), F.col("p.n").alias("an"), F.col("p.label").alias("al"))
+            open_rows = told.drop("label", "n", "part")
         else:
             upto = F.when(F.col("in_key") <= SMALL, 1.0).otherwise(F.lit(float(GROW**step)) / F.col("in_key"))
-            open_rows = told.filter(F.col("turn") >= upto).drop("label")
+            open_rows = told.filter(F.col("turn") >= upto).drop("label", "n", "part")
             told = told.join(bitmaps, "c")
-            pivot = told.filter(F.col("turn") < upto).select("key", F.col("c").alias("a"), F.col("n").alias("an"), F.col("label").alias("al"), F.col("bitmap").alias("ab"))
+            pivot = told.filter(F.col("turn") < upto).select("key", every_part(), F.col("c").alias("a"), F.col("n").alias("an"), F.col("label").alias("al"), F.col("bitmap").alias("ab"))
         apart = (F.col("label") != F.col("al")) & _alike_size("n", "an", percent)
-        found = told.join(pivot, "key").filter(apart & may_link("bitmap", "ab", "n", "an", percent) if step else apart)
+        found = told.join(pivot, ["key", "part"]).filter(apart & may_link("bitmap", "ab", "n", "an", percent) if step else apart)
         if step:
             found = found.select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b"))
         else:
