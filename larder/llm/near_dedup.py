@@ -119,18 +119,19 @@ def _alike_size(n: str, m: str, percent: int) -> Column:
     return (100 * F.least(F.col(n), F.col(m))) >= percent * F.greatest(F.col(n), F.col(m))
 
 
-def _parts() -> Column:
-    return F.ceil(F.col("in_key") / PART_MEMBERS)
+def _parts(step: int) -> Column:
+    """Parts of a key: the larger the blocks of pivots that go to every part, the fewer parts."""
+    return F.ceil(F.col("in_key") / (PART_MEMBERS * GROW ** max(step - 1, 0)))
 
 
-def own_part() -> Column:
+def own_part(step: int) -> Column:
     """The part of its key that a member is in."""
-    return F.pmod(F.xxhash64("c", F.lit("part")), _parts())
+    return F.pmod(F.xxhash64("c", F.lit("part")), _parts(step)).alias("part")
 
 
-def every_part() -> Column:
-    """All parts of a key: what meets all members of a large key goes to each."""
-    return F.explode(F.sequence(F.lit(0).cast("long"), _parts() - 1)).alias("part")
+def every_part(step: int) -> Column:
+    """All parts of a key: what meets all members of a large key goes to each. Pivots so repeated stay fewer than the members."""
+    return F.explode(F.sequence(F.lit(0).cast("long"), _parts(step) - 1)).alias("part")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -209,17 +210,17 @@ def judged(df: DataFrame, id_col: str, text_col: str, size: int, percent: int, g
     while True:
         told = open_rows.join(labels, "c")
         spans = told.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("in_key").alias("in_key")).filter("low <> high")
-        told = staged(told.withColumn("part", own_part()).join(spans.select("key", every_part()), ["key", "part"], "left_semi"), "near-open")
+        told = staged(told.withColumn("part", own_part(step)).join(spans.select("key", every_part(step)), ["key", "part"], "left_semi"), "near-open")
         if not told.limit(1).count():
             break
         if step == 0:
-            pivot = told.groupBy("key").agg(F.min_by(F.struct("c", "n", "label"), "turn").alias("p"), F.max("in_key").alias("in_key")).select("key", every_part(), F.col("p.c").alias("a"), F.col("p.n").alias("an"), F.col("p.label").alias("al"))
+            pivot = told.groupBy("key").agg(F.min_by(F.struct("c", "n", "label"), "turn").alias("p"), F.max("in_key").alias("in_key")).select("key", every_part(step), F.col("p.c").alias("a"), F.col("p.n").alias("an"), F.col("p.label").alias("al"))
             open_rows = told.drop("label", "n", "part")
         else:
             upto = F.when(F.col("in_key") <= SMALL, 1.0).otherwise(F.lit(float(GROW**step)) / F.col("in_key"))
             open_rows = told.filter(F.col("turn") >= upto).drop("label", "n", "part")
             told = told.join(bitmaps, "c")
-            pivot = told.filter(F.col("turn") < upto).select("key", every_part(), F.col("c").alias("a"), F.col("n").alias("an"), F.col("label").alias("al"), F.col("bitmap").alias("ab"))
+            pivot = told.filter(F.col("turn") < upto).select("key", every_part(step), F.col("c").alias("a"), F.col("n").alias("an"), F.col("label").alias("al"), F.col("bitmap").alias("ab"))
         apart = (F.col("label") != F.col("al")) & _alike_size("n", "an", percent)
         found = told.join(pivot, ["key", "part"]).filter(apart & may_link("bitmap", "ab", "n", "an", percent) if step else apart)
         if step:
