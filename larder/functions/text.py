@@ -114,8 +114,10 @@ def tokens_estimate(x: Column) -> Column:
     return F.ceil(F.octet_length(x) / 3).cast("long")
 
 
-def truncate_to_tokens(x: Column, tokens: int, mark: str = " [truncated]") -> Column:
-    """At most so many tokens by the estimate, mark included, cut between code points. Whole characters are taken while their bytes fit: a first cut at the byte budget in characters, then a step by the bytes that it is over."""
+def truncate_to_tokens(x: Column, tokens: int, mark: str = "\n[truncated]") -> Column:
+    """At most so many tokens by the estimate, mark included, cut between code points: whole characters are taken while their bytes fit. A budget below the mark's own bytes leaves the mark alone."""
+    if tokens <= 0:
+        raise ValueError("the number of tokens must be greater than 0")
     room = tokens * 3 - len(mark.encode())
     return F.when(F.octet_length(x) <= tokens * 3, x).otherwise(F.concat(_fit(x, max(room, 0)), F.lit(mark)))
 
@@ -158,4 +160,6 @@ def content_hash(x: Column) -> Column:
 
 
 def note_key(person: Column, day: Column, kind: Column, author: Column, body: Column) -> Column:
-    return F.sha2(F.concat_ws("|", person.cast("string"), F.date_format(day, "yyyy-MM-dd"), *(F.coalesce(F.lower(collapse(x)), F.lit("")) for x in (kind, author, body))), 256)
+    """SHA-256 of who, when and the compatible forms of the texts, as a list, so that a null is no empty text and parts do not run together."""
+    parts = F.array(person.cast("string"), F.date_format(day, "yyyy-MM-dd"), *(compatible(x) for x in (kind, author, body)))
+    return F.sha2(F.to_json(parts), 256)

@@ -12,10 +12,12 @@ def word_tokens(text: Column) -> Column:
 
 
 def window_starts(length: Column, size: int, overlap: int) -> Column:
-    """Where windows begin: every size - overlap tokens; a last window that would repeat only what the one before it ended with is left out where that one ended exactly at the last token."""
-    step = size - overlap
-    starts = F.sequence(F.lit(0), F.greatest(length - 1, F.lit(0)), F.lit(step))
-    return F.when(length > 0, F.filter(starts, lambda s: ~((s > 0) & (s >= length - overlap) & (((length - overlap) % step) == 0) & (s == length - overlap)))).otherwise(F.array().cast("array<int>"))
+    """Where windows begin: every size - overlap tokens. A window that ends exactly at the last token is the last one; else windows begin as long as there are tokens."""
+    if size <= 0 or not 0 <= overlap < size:
+        raise ValueError("a window has tokens, and its overlap is smaller than it")
+    step, last = size - overlap, length - size
+    upto = F.when((last >= 0) & (last % step == 0), last).otherwise(length - 1)
+    return F.when(length > 0, F.sequence(F.lit(0), F.greatest(upto, F.lit(0)), F.lit(step))).otherwise(F.array().cast("array<int>"))
 
 
 def chunks(df: DataFrame, keys: list[str], tokens: Column, size: int = 600, overlap: int = 100, title: Column | None = None) -> DataFrame:

@@ -57,11 +57,11 @@ def extract_fields(spark, sf):
 
 @query(
     "q_diet_fields",
-    """SELECT p_partkey, CASE p_partkey % 10 WHEN 3 THEN 'ccd' WHEN 5 THEN 'regular' END AS diet_type, CASE p_partkey % 10 WHEN 3 THEN 'ground' END AS texture, CASE p_partkey % 10 WHEN 3 THEN 'thin' END AS liquid FROM part WHERE p_partkey % 10 IN (3, 5)""",
+    """SELECT p_partkey, CASE p_partkey % 10 WHEN 3 THEN 'ccd' WHEN 5 THEN 'regular' END AS diet_type, CASE p_partkey % 10 WHEN 3 THEN 'ground' END AS texture, CASE p_partkey % 10 WHEN 3 THEN 'thin' END AS liquid FROM part""",
 )
 def diet_fields(spark, sf):
-    d = extraction.diet(F.col("summary"))
-    return orders(spark, sf).filter("p_partkey % 10 IN (3, 5)").select("p_partkey", d["diet_type"].alias("diet_type"), d["texture"].alias("texture"), d["liquid_consistency"].alias("liquid"))
+    d, is_diet = extraction.diet(F.col("summary")), extraction.order_type(F.col("summary"), F.col("category")) == "diet"
+    return orders(spark, sf).select("p_partkey", *(F.when(is_diet, d[k]).alias(name) for k, name in (("diet_type", "diet_type"), ("texture", "texture"), ("liquid_consistency", "liquid"))))
 
 
 def weight_pages(spark, sf):
@@ -87,9 +87,9 @@ def whole_text(spark, sf):
     return document_text(read(spark, sf, "conversations"), "conv_id", "turn", "text")
 
 
-@query("q_listing_orders", "SELECT o_custkey, o_orderkey AS record_key, 'P' || o_orderkey AS person_identifier, 'Give ' || o_orderpriority || ' daily' AS summary FROM orders WHERE o_orderkey % 3 = 0")
+@query("q_listing_orders", "SELECT o_custkey, o_orderkey AS record_key, 'P' || o_orderkey AS person_identifier, 'Give ' || o_orderpriority || ' daily' AS summary FROM orders")
 def listing_orders(spark, sf):
-    rows = read(spark, sf, "orders").filter("o_orderkey % 3 = 0").select(
+    rows = read(spark, sf, "orders").select(
         F.col("o_custkey").alias("doc"),
         F.explode(F.array(F.struct((F.col("o_orderkey") * 3).alias("line_number"), F.format_string("Sample, Ada (P%d) Give", F.col("o_orderkey")).alias("line")), F.struct((F.col("o_orderkey") * 3 + 1).alias("line_number"), F.lit("Page 1").alias("line")), F.struct((F.col("o_orderkey") * 3 + 2).alias("line_number"), F.concat("o_orderpriority", F.lit(" daily")).alias("line")))).alias("x"),
     )
@@ -140,9 +140,9 @@ def identity_resolve(spark, sf):
     return identity.resolve(known.unionByName(new).drop("person_id"), people).select("record_id", "status", "person_id")
 
 
-@query("q_document_facility", "SELECT o_custkey AS document_id, CASE WHEN count(DISTINCT o_orderpriority) = 1 THEN min(o_orderpriority) END AS facility_id FROM orders WHERE o_orderkey % 4 = 0 GROUP BY 1")
+@query("q_document_facility", "SELECT o_custkey AS document_id, CASE WHEN count(DISTINCT o_orderpriority) = 1 THEN min(o_orderpriority) END AS facility_id FROM orders GROUP BY 1")
 def document_facility(spark, sf):
-    facts = read(spark, sf, "orders").filter("o_orderkey % 4 = 0").select(F.col("o_custkey").alias("document_id"), F.col("o_orderpriority").alias("facility_id"))
+    facts = read(spark, sf, "orders").select(F.col("o_custkey").alias("document_id"), F.col("o_orderpriority").alias("facility_id"))
     return identity.document_facility(facts)
 
 
@@ -162,13 +162,16 @@ def context_budget(spark, sf):
     return out.select("o_custkey", F.size("orders").cast("long").alias("kept"), F.try_element_at("omitted", F.lit("orders")).cast("long").alias("omitted"))
 
 
-@query("q_truncate_tokens", "SELECT doc_id, length(text) > 0 AND strlen(text) > 300 AS cut FROM documents")
+@query(
+    "q_truncate_tokens",
+    """SELECT doc_id, strlen(text) > 300 AS cut, md5(CASE WHEN strlen(text) <= 300 THEN text ELSE left(text, list_max(list_filter(range(0, 289), lambda i: strlen(left(text, i::INT)) <= 288))::INT) || chr(10) || '[truncated]' END) AS body FROM documents""",
+)
 def truncate_tokens(spark, sf):
     from larder.functions.text import truncate_to_tokens
 
     short = truncate_to_tokens(F.col("text"), 100)
     fits = F.assert_true(F.octet_length(short) <= 300, "a text is over its budget").isNull()
-    return read(spark, sf, "documents").filter(fits).select("doc_id", short.endswith(" [truncated]").alias("cut"))
+    return read(spark, sf, "documents").filter(fits).select("doc_id", short.endswith("\n[truncated]").alias("cut"), F.md5(short).alias("body"))
 
 
 @query("q_content_segments")

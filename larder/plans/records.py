@@ -54,12 +54,12 @@ def upsert_fillnull(spark, sf):
 @query(
     "q_text_union",
     """SELECT a.doc_id, CASE WHEN b.t IS NULL THEN a.t WHEN contains(lower(a.t), lower(b.t)) THEN a.t WHEN contains(lower(b.t), lower(a.t)) THEN b.t ELSE a.t || chr(10) || b.t END AS text
-       FROM (SELECT doc_id, trim(substr(text, 1, 12), ' ') AS t FROM documents WHERE doc_id % 2 = 0) a LEFT JOIN (SELECT doc_id - 1 AS doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE trim(substr(text, 1, 3), ' ') END AS t FROM documents WHERE doc_id % 2 = 1) b ON a.doc_id = b.doc_id""",
+       FROM (SELECT doc_id, trim(text, ' ') AS t FROM documents) a LEFT JOIN (SELECT doc_id - 1 AS doc_id, trim(text, ' ') AS t FROM documents) b ON a.doc_id = b.doc_id""",
 )
 def text_union(spark, sf):
     docs = read(spark, sf, "documents")
-    a = docs.filter("doc_id % 2 = 0").select("doc_id", F.trim(F.substring("text", 1, 12)).alias("a"))
-    b = docs.filter("doc_id % 2 = 1").select((F.col("doc_id") - 1).alias("doc_id"), F.when(F.col("doc_id") % 3 != 0, F.trim(F.substring("text", 1, 3))).alias("b"))
+    a = docs.select("doc_id", F.trim("text").alias("a"))
+    b = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.trim("text").alias("b"))
     return a.join(b, "doc_id", "left").select("doc_id", text.text_union(F.col("a"), F.col("b")).alias("text"))
 
 

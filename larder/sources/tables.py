@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,39 +16,44 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 class VersionedTable:
-    """A table of immutable Parquet versions under one folder; `CURRENT` names the version that readers see.
+    """A table of numbered, immutable Parquet versions under one folder.
 
-    A writer puts down a whole version first and then replaces the pointer, so readers see
-    all of a change or none of it. One writer at a time.
+    A version is a folder `v-<number>-<mark>-<unique>` that Spark's own commit has closed
+    with `_SUCCESS`; readers see the one with the highest number. So there is no pointer to
+    move: a writer that dies leaves an unclosed folder, which no one reads, and the version
+    before it stands. The mark says what was applied, whether the version has rows or not.
+    One writer at a time.
     """
 
+    NAME = re.compile(r"v-(\d{12})-(.*)-[0-9a-f]{32}")
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(self.path)
-        return jvm, where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+    def versions(self) -> list[tuple[int, str, str]]:
+        """(number, mark, folder) of every closed version, rising."""
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        fs = where(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        closed = fs.globStatus(where(f"{self.path}/v-*/_SUCCESS")) or []
+        found = ((self.NAME.fullmatch(name), name) for name in (f.getPath().getParent().getName() for f in closed))
+        return sorted((int(m[1]), m[2], name) for m, name in found if m)
 
     def version(self) -> str | None:
-        jvm, fs = self._fs()
-        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT")
-        return self.spark.read.text(f"{self.path}/CURRENT").first()[0] if fs.exists(at) else None
+        found = self.versions()
+        return found[-1][2] if found else None
+
+    def mark(self) -> str | None:
+        """What the newest version notes as applied."""
+        found = self.versions()
+        return found[-1][1] if found else None
 
     def read(self) -> DataFrame | None:
         version = self.version()
         return None if version is None else self.spark.read.parquet(f"{self.path}/{version}")
 
-    def publish(self, df: DataFrame) -> str:
-        """Write the next version, then point to it."""
-        version = f"v-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/{version}")
-        jvm, fs = self._fs()
-        at = lambda name: jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        out = fs.create(at(f"_next-{version}"))
-        out.write(bytearray(version.encode()))
-        out.close()
-        if fs.exists(at("CURRENT")):
-            fs.delete(at("CURRENT"), False)
-        fs.rename(at(f"_next-{version}"), at("CURRENT"))
+    def publish(self, df: DataFrame, mark: str = "") -> str:
+        """Write the next version; Spark's commit makes it the one that readers see."""
+        found = self.versions()
+        version = f"v-{(found[-1][0] + 1 if found else 0):012d}-{mark}-{uuid.uuid4().hex}"
+        df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(f"{self.path}/{version}")
         return version

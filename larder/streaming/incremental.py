@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,14 +15,15 @@ from larder.sources.tables import VersionedTable
 
 
 def apply_batches(stream: DataFrame, target: VersionedTable, step: Callable[[DataFrame | None, DataFrame], DataFrame], checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Run `step(table or None, batch)` for each batch and publish its result. A batch that is replayed is skipped: the version notes the last one applied."""
+    """Run `step(table or None, batch)` for each batch and publish its result. The version's mark notes the streaming query, by the id in its checkpoint, and the last batch applied: a batch that is replayed is skipped, one of another query, as under a new checkpoint, is not."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        table = target.read()
-        if table is not None and table.limit(1).count() and table.agg(F.max("_batch")).first()[0] >= batch_id:
+        query_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        own = (query_id or hashlib.sha256(checkpoint.encode()).hexdigest()).replace("-", "")[:16]
+        query, _, last = (target.mark() or "").partition(".")
+        if query == own and int(last) >= batch_id:
             return
-        before = table.drop("_batch") if table is not None else None
-        target.publish(step(before, batch).withColumn("_batch", F.lit(batch_id)))
+        target.publish(step(target.read(), batch), f"{own}.{batch_id}")
 
     writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -96,6 +96,20 @@ def test_windows_of_tokens(one, length, n):
     assert len(one(x=chunking.window_starts(F.lit(length), 600, 100))) == n
 
 
+@pytest.mark.parametrize(("size", "overlap"), [(10, 8), (10, 0), (10, 9), (3, 1), (1, 0)])
+def test_windows_of_any_size(one, size, overlap):
+    for length in (0, 1, 2, 9, 10, 11, 12, 20, 31):
+        starts, at = [], 0
+        while at < length:
+            starts.append(at)
+            if at + size == length:
+                break
+            at += size - overlap
+        assert one(x=chunking.window_starts(F.lit(length), size, overlap)) == starts, length
+    with pytest.raises(ValueError):
+        chunking.window_starts(F.lit(1), 3, 3)
+
+
 def test_chunk_titles(spark):
     df = spark.createDataFrame([(1, "Fluids are good", "fluids"), (2, "x", "Title"), (3, None, "T")], "d int, t string, title string")
     got = rows(chunking.chunks(df, ["d"], chunking.word_tokens(F.coalesce("t", F.lit(""))), title=F.col("title")).select("d", "content"))

@@ -38,6 +38,11 @@ def test_versions(spark, tmp_path):
     first = table.version()
     table.publish(table.read().filter("id > 0"))
     assert table.read().count() == 2 and table.version() != first
+    # a writer that dies leaves a folder that was not closed: the version before it stands
+    (tmp_path / "t" / f"v-{9:012d}-x.9-{'0' * 32}").mkdir()
+    assert table.read().count() == 2
+    table.publish(spark.range(0), "x.3")
+    assert table.read().count() == 0 and table.mark() == "x.3" and [n for n, _, _ in table.versions()] == [0, 1, 2]
 
 
 def test_backoff_and_retries():
@@ -87,6 +92,10 @@ def test_stream_of_batches(spark, tmp_path):
         spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(source))
         incremental.apply_batches(incremental.read_files(spark, str(source), schema), table, step, str(tmp_path / "checkpoint")).awaitTermination()
     assert [tuple(r) for r in table.read().select("p", "v").orderBy("p").collect()] == [(1, 6.0), (2, 1.0)]
+    # another query over the same table, whose batches count from 0 again, is not taken for a replay
+    spark.createDataFrame([(3, day(9), 9.0, 5)], schema).write.parquet(str(tmp_path / "more"))
+    incremental.apply_batches(incremental.read_files(spark, str(tmp_path / "more"), schema), table, step, str(tmp_path / "other")).awaitTermination()
+    assert table.read().filter("p = 3 AND v = 9").count() == 1 and table.read().count() == 3
 
 
 def test_ingest_once(spark):
