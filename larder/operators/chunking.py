@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from larder.operators.relational import required
 
 
 def word_tokens(text: Column) -> Column:
@@ -32,5 +33,5 @@ def chunks(df: DataFrame, keys: list[str], tokens: Column, size: int = 600, over
 
 def zip_vectors(df: DataFrame, chunk_list: str, vector_list: str, keys: list[str]) -> DataFrame:
     """Chunks with their vectors by position; lists of different lengths fail the job."""
-    same = F.assert_true(F.size(chunk_list) == F.size(vector_list), "chunks and vectors differ in number").isNull()
+    same = required(F.size(chunk_list) == F.size(vector_list), "chunks and vectors differ in number")
     return df.filter(same).select(*keys, F.posexplode(F.arrays_zip(F.col(chunk_list).alias("content"), F.col(vector_list).alias("embedding"))).alias("chunk_index", "_z")).select(*keys, "chunk_index", "_z.*")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions.text import text_union
+from larder.operators.relational import required
 
 
 def insert_absent(table: DataFrame, new: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
@@ -64,14 +65,14 @@ def union_texts(df: DataFrame, keys: list[str], order: str, text: list[str], fil
     """Rows of one key become one: texts are united in order, other columns keep the first value known.
 
     A key's texts meet in one array, so a key of more than `most` rows is an error, not
-    silently cut: `assert_true` fails the job.
+    silently cut: the job fails.
     """
     lists = df.groupBy(*keys).agg(
         F.count("*").alias("_n"),
         *(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(c).alias("t")))).alias(c) for c in text),
         *(F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in fill),
     )
-    lists = lists.filter(F.assert_true(F.col("_n") <= most, "a key has too many texts to unite").isNull()).drop("_n")
+    lists = lists.filter(required(F.col("_n") <= most, "a key has too many texts to unite")).drop("_n")
     return lists.withColumns({c: F.aggregate(F.col(c), F.lit(None).cast("string"), lambda a, x: text_union(a, x["t"])) for c in text})
 
 

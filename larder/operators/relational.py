@@ -8,6 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def required(test: Column, message: str) -> Column:
+    """True where the test holds; elsewhere, also where it is null, the job fails with the message."""
+    return F.when(test, F.lit(True)).otherwise(F.raise_error(F.lit(message)).cast("boolean"))
+
+
 def match_all(columns: dict[str, object]) -> Column:
     """Equality on several columns; a null never matches."""
     return reduce(lambda a, b: a & b, (F.col(c) == F.lit(v) for c, v in columns.items()))
@@ -80,3 +85,30 @@ def repeated_lines(df: DataFrame, page: str, text: str, least: int = 2, boundary
 def policy_error(df: DataFrame, keys: list[str], ok: Column) -> DataFrame:
     """A group fails only if nothing in it succeeded."""
     return df.groupBy(*keys).agg(F.count_if(ok).alias("n_ok"), F.count_if(~ok).alias("n_failed")).withColumn("status", F.when((F.col("n_ok") == 0) & (F.col("n_failed") > 0), "failed").when(F.col("n_failed") > 0, "partial").otherwise("ok"))
+
+
+def has_all(have: Column, want: list[str]) -> Column:
+    """Does the array hold all of these? The order and further elements do not count."""
+    return F.size(F.array_except(F.array(*map(F.lit, want)), have)) == 0
+
+
+def same_set(a: Column, b: Column) -> Column:
+    """Do the arrays hold the same elements, however often?"""
+    return F.array_sort(F.array_distinct(a)) == F.array_sort(F.array_distinct(b))
+
+
+def of_type(column: Column, kind: str) -> Column:
+    """The value as the declared type; a value that is not of it fails the job."""
+    as_kind = column.try_cast(kind)
+    wrong = F.raise_error(F.concat(F.lit(f"not of type {kind}: "), column.cast("string"))).cast(kind)
+    return F.when(column.isNull() | as_kind.isNotNull(), as_kind).otherwise(wrong)
+
+
+def from_own_source(facts: DataFrame, fact_type: str, restricted: str, source: str, owners: list[str]) -> DataFrame:
+    """Facts of the restricted type only from sources that own it; all other facts. A null source owns nothing."""
+    return facts.filter((F.col(fact_type) != restricted) | F.coalesce(F.col(source).isin(*owners), F.lit(False)))
+
+
+def without_keys(table: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows but those whose keys are named: deletion of a list of ids, or of single links by both their keys. Nulls are never named."""
+    return table.join(gone.select(*keys).distinct(), keys, "left_anti")

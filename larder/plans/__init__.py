@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("relational", "temporal", "records", "documents")
+MODULES = ("relational", "temporal", "records", "documents", "clinical")
 
 
 def load_all() -> None:

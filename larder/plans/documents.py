@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larder.operators import context, extraction, identity
+from larder.operators.relational import required
 from larder.plans.registry import query
 from larder.sources import foods
 from larder.sources.documents import document_text, lines_of, report_kind
@@ -170,7 +171,7 @@ def truncate_tokens(spark, sf):
     from larder.functions.text import truncate_to_tokens
 
     short = truncate_to_tokens(F.col("text"), 100)
-    fits = F.assert_true(F.octet_length(short) <= 300, "a text is over its budget").isNull()
+    fits = required(F.octet_length(short) <= 300, "a text is over its budget")
     return read(spark, sf, "documents").filter(fits).select("doc_id", short.endswith("\n[truncated]").alias("cut"), F.md5(short).alias("body"))
 
 

@@ -4,7 +4,7 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
-from larder.operators import chunking, context, extraction, identity, merge, relational, retrieval, temporal
+from larder.operators import facts, labs, chunking, context, extraction, identity, merge, relational, retrieval, temporal
 
 T = dt.datetime
 
@@ -163,8 +163,10 @@ def test_words_reports_and_segments(spark):
     assert rows(extraction.group_words(words, ["doc", "page_number"]).select("line_number", "line")) == [(0, "a b"), (1, "c")]
     pages = spark.createDataFrame([("d", 1, "P1", None), ("d", 2, "P1", "7"), ("d", 3, None, "8"), ("d", 4, "P2", None), ("d", 5, "P3", None)], "doc string, page_number int, person_identifier string, order_number string")
     assert [r[1] for r in rows(extraction.split_reports(pages).select("page_number", "report"))] == [1, 1, 2, 2, 3]
-    lines = spark.createDataFrame([("d", 1, k, x) for k, x in enumerate(["Fluid Needs of Adults", "Drink water.", "References", "1. A book", "Protein Needs", "Eat."])], "doc string, page_number int, line_number int, line string")
-    assert rows(extraction.content_segments(lines).select("line_number", "section_title", "line")) == [(1, "Fluid Needs of Adults", "Drink water."), (5, "Protein Needs", "Eat.")]
+    pages = {1: ["Sample Diet Manual", "Fluid Needs of Adults", "Drink water.", "Selected References: A-Z", "1. A book", "Protein Needs", "Renal Diet Guidance", "Eat."], 2: ["Sample Diet Manual", "Fluids .. 3", "Eggs ...... 4", "Loose words", "Page 2"], 3: ["Subject Index", "Milk, 5", "Milk Needs", "Definition", "Milk is white.", "Copyright of all"]}
+    lines = spark.createDataFrame([("d", n, k, x) for n, page in pages.items() for k, x in enumerate(page)], "doc string, page_number int, line_number int, line string")
+    got = [tuple(r) for r in extraction.content_segments(lines).orderBy("page_number", "line_number").select("page_number", "line_number", "section_title").collect()]
+    assert got == [(1, 1, "Fluid Needs of Adults"), (1, 2, "Fluid Needs of Adults"), (1, 6, "Renal Diet Guidance"), (1, 7, "Renal Diet Guidance"), (3, 2, "Milk Needs"), (3, 3, "Milk Needs"), (3, 4, "Milk Needs")]
 
 
 def test_notes(spark):
@@ -196,3 +198,48 @@ def test_context(spark):
     got = context.budget(df, {"notes": 5}, extra="extra", matches="matches").first()
     assert got["notes"] == [0, 1, 2, 3, 4] and got["omitted"] == {"notes": 3} and got["extra"] is None
     assert len(got["matches"][0]) <= 3600 and got["saved_tokens"] == got["raw_tokens"] - got["budgeted_tokens"]
+
+
+def test_lists_of_different_lengths_fail(spark):
+    df = spark.createDataFrame([(1, ["a", "b"], [[1.0]])], "k int, c array<string>, v array<array<double>>")
+    with pytest.raises(Exception, match="differ in number"):
+        chunking.zip_vectors(df, "c", "v", ["k"]).collect()
+
+
+def test_lab_lines(one):
+    read = lambda line: one(x=labs.result_of_line(F.lit(line)))
+    assert read("  Sodium, Serum  140 mmol/L 135 - 145 H Final").asDict() == {"name": "Sodium, Serum", "result": "140", "unit": "mmol/L", "reference_range": "135 - 145"}
+    assert read("PSA <0.1 See note < 4.0 Corrected").asDict() == {"name": "PSA", "result": "<0.1", "unit": "See note", "reference_range": "< 4.0"}
+    assert read("Ratio 3 Preliminary").asDict() == {"name": "Ratio", "result": "3", "unit": None, "reference_range": None}
+    for line in ("Sodium 140 mmol/L Pending", "REDRAW NOTE 1 Final", "Sodium Invalid Final", "Sodium * Final", "140 mmol/L Final", "Final H 3", "", "H Final", "Sodium none Final"):
+        assert read(line) is None, line
+
+
+def test_lab_columns(spark):
+    at = lambda x, y, t, w=40: (1, float(x), float(x + w), float(y), t)
+    head = [at(x, 50 + k % 2, t) for k, (x, t) in enumerate([(20, "Test"), (180, "Result"), (250, "Unit"), (320, "Ref."), (390, "Flag"), (460, "STATUS:")])]
+    early = [at(20, 10, "Old"), at(180, 10, "5"), at(460, 10, "Final")]
+    body = [at(20, 70, "Blood"), at(62, 71.5, "Urea"), at(180, 70, "7.1"), at(250, 70, "mmol"), at(320, 70, "3-8"), at(460, 70, "Final"), at(20, 90, "Iron"), at(180, 90, "Pending"), at(460, 90, "Final"), at(20, 110, "Zinc"), at(180, 110, "2"), at(390, 110, "L"), at(460, 110, "Open")]
+    words = spark.createDataFrame(early + head + body + [(2, 20.0, 60.0, 5.0, "prose")], "page int, x0 double, x1 double, y0 double, text string")
+    assert rows(labs.results_of_words(words, ["page"]).drop("line_number")) == [(1, "Blood Urea", "7.1", "mmol", "3-8", None)]
+
+
+def test_facts_find_their_relations(spark):
+    data = [("wound", {"wound_type": "ulcer", "action": "x"}), ("edema", {"location": ""}), ("weight", {"measured_at": "2026-01-05"}), ("diet", {"diet_type": " Renal  DIET", "status": "active"}), ("diet", {"diet_type": "renal diet", "status": "inactive", "observed_at": "2026-01-01"}), ("appetite", {"level": "good"}), ("other", {"observed_at": "2026-01-01"}), ("lab", None)]
+    got = facts.routed(spark.createDataFrame([(i, *d) for i, d in enumerate(data)], "i int, fact_type string, payload map<string,string>")).orderBy("i").collect()
+    assert [r["relation"] for r in got] == ["person_wound", "person_edema", "person_weight", "person_diet", "person_diet", "person_appetite_observation", None, "person_lab"]
+    assert got[0]["row"] == {"type": "ulcer", "location": "Unspecified"} and got[1]["row"] == {"location": "Unspecified"}
+    assert got[2]["observed_at"] == T(2026, 1, 5) and got[6]["observed_at"] is None
+    assert got[3]["state_key"] == got[4]["state_key"] is not None and got[2]["state_key"] is None and got[5]["observation_key"]
+    twice = spark.createDataFrame([("d", 1, p, k, "diet", {"a": "b"}) for p in (7, 8) for k in (0, 1)], "doc string, source_page int, person int, at int, fact_type string, payload map<string,string>")
+    assert rows(facts.once(twice, "doc", ["person"], ["at"]).select("person", "at")) == [(7, 0), (8, 0)]
+
+
+def test_set_rules(spark, one):
+    pair = F.array(F.lit("a"), F.lit("b"), F.lit("b"))
+    assert one(x=relational.has_all(pair, ["b", "a"])) and not one(x=relational.has_all(pair, ["c"])) and one(x=relational.same_set(pair, F.array(F.lit("b"), F.lit("a"))))
+    assert one(x=relational.of_type(F.lit("7"), "int")) == 7 and one(x=relational.of_type(F.lit(None).cast("string"), "int")) is None
+    with pytest.raises(Exception, match="not of type"):
+        one(x=relational.of_type(F.lit("x"), "int"))
+    df = spark.createDataFrame([("diet", None), ("diet", "own"), ("lab", None)], "kind string, source string")
+    assert rows(relational.from_own_source(df, "kind", "diet", "source", ["own"])) == [("diet", "own"), ("lab", None)]
