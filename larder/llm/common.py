@@ -41,6 +41,22 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Kept(dict):
+    """What `make` gave for each key, made when first asked for; begun anew when the keys have grown beyond a number of characters, so that neither many keys nor long ones fill a worker."""
+
+    def __init__(self, make: Callable, limit: int = 8 << 20):
+        super().__init__()
+        self.make, self.limit, self.size = make, limit, 0
+
+    def __missing__(self, key):
+        if self.size > self.limit:
+            self.clear()
+            self.size = 0
+        value = self[key] = self.make(key)
+        self.size += len(key) + 16
+        return value
+
+
 def public_tokenizer(name: str) -> str:
     """Where the vocabulary file `name` lies on this machine (the package is installed on every worker)."""
     import public_tokenizers

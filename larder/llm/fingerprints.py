@@ -8,7 +8,8 @@ containment and the number of distinct shingles.
 
 Defined cases: a null text is the empty text; a text without words has an empty
 fingerprint, whose likeness to another empty one is 1 and to any other 0; ties of
-doc_id are ordered by text; an empty table gives no rows; other columns are ignored.
+doc_id are ordered by text; long texts are read whole; an empty table gives no rows;
+other columns are ignored. A repeated doc_id keeps its rows in one range.
 """
 
 from __future__ import annotations
@@ -23,9 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.llm.common import id_type, map_rows, schema_of, slices
+from larder.llm.common import Kept, id_type, map_rows, schema_of, slices
 
-KEEP_WORDS = 500_000
 _MIX = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)]
 _TOP = float(1 << 64)
 
@@ -42,19 +42,10 @@ class WordHashes:
     """64-bit hashes of the words of a text; words met before are not hashed again."""
 
     def __init__(self):
-        self.known: dict[bytes, int] = {}
+        self.known = Kept(xxhash.xxh3_64_intdigest)
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        try:
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            if len(known) > KEEP_WORDS:
-                known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = xxhash.xxh3_64_intdigest(w)
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
 
 
 @lru_cache(maxsize=1)

@@ -17,13 +17,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import id_type, map_rows, schema_of
+from larder.llm.common import Kept, id_type, map_rows, schema_of
 
 BITS = 20
 BUCKETS = 1 << BITS
 SHARDS = 4
-#: Chunks of text that a Python worker keeps: all their units, and those with weights.
-KEEP_CHUNKS, KEEP_SPARSE = 200_000, 400_000
 TOKEN = regex.compile(r"\w+|[^\w\s]+")
 _BIAS = np.zeros(1, np.int64)
 #: Offsets of the features "twice" and "three times", and an odd factor that spreads hashes over the buckets; products fit 64 bits.
@@ -34,22 +32,11 @@ class Tokens:
     """32-bit hashes of the words and symbol runs of texts; chunks between white space are split once."""
 
     def __init__(self, units: Callable[[str], list[str]]):
-        self.units = units
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = Kept(lambda chunk: tuple(xxhash.xxh32_intdigest(u) for u in units(chunk)))
 
     def of(self, text: str) -> np.ndarray:
-        chunks = text.split()
         known = self.known
-        try:
-            found = [known[c] for c in chunks]
-        except KeyError:
-            if len(known) > KEEP_CHUNKS:
-                known.clear()
-            for c in chunks:
-                if c not in known:
-                    known[c] = tuple(xxhash.xxh32_intdigest(u) for u in self.units(c))
-            found = [known[c] for c in chunks]
-        return np.fromiter((h for x in found for h in x), np.int64)
+        return np.fromiter((h for c in text.split() for h in known[c]), np.int64)
 
 
 def cased_tokens(chunk: str) -> list[str]:
@@ -147,7 +134,7 @@ class SparseScorer:
     def __init__(self, weights: np.ndarray):
         self.weights = weights
         self.split = FEATURES["presence"][0]
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = Kept(self.keep)
         # spread hashes of units with a weight for occurring once, twice or three times
         found = np.flatnonzero(weights[1:])
         self.alive = {int(r) for off in (0, TWICE, THRICE) for r in (found - off * SPREAD) % (BUCKETS - 1)}
@@ -156,17 +143,8 @@ class SparseScorer:
         return tuple(h for h in map(xxhash.xxh32_intdigest, self.split(chunk)) if h * SPREAD % (BUCKETS - 1) in self.alive)
 
     def score(self, text: str) -> float:
-        chunks, known = text.split(), self.known
-        try:
-            found = [known[c] for c in chunks]
-        except KeyError:
-            if len(known) > KEEP_SPARSE:
-                known.clear()
-            for c in chunks:
-                if c not in known:
-                    known[c] = self.keep(c)
-            found = [known[c] for c in chunks]
-        at, x = presence(np.array([h for t in found if t for h in t], np.int64))
+        known = self.known
+        at, x = presence(np.array([h for c in text.split() if (t := known[c]) for h in t], np.int64))
         return float(1 / (1 + np.exp(-np.clip(self.weights[at] @ x, -30, 30))))
 
 

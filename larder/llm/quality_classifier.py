@@ -6,8 +6,9 @@ crc32 of its id, as text, leaves remainder 0 by 5.
 
 Defined cases: a null or empty text is scored by the bias alone; labels that are null
 are not learnt from; an id with several labels counts once, with the largest; without
-labels every score is 0.5; repeated documents are scored each for itself; an empty
-table gives no rows; other columns are ignored.
+labels every score is 0.5; of a repeated id one text is learnt from, the smallest, and
+all rows are scored each for itself; ties of hashes go by id; long texts are read whole;
+an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,12 +24,12 @@ TRAIN_ROWS = 8000
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learnable, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text, y of at most `rows` labelled documents; the ids and labels, so bounded, are broadcast."""
+    """id, text, y of at most `rows` labelled documents, one text of each id; the ids and labels, so bounded, are broadcast."""
     ids = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull() & learnable)
     ids = ids.groupBy(F.col(id_col).alias("id")).agg(F.max(label).cast("double").alias("y"))
     ids = ids.orderBy(F.xxhash64("id"), "id").limit(rows)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return texts.join(F.broadcast(ids), "id")
+    return texts.join(F.broadcast(ids), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:

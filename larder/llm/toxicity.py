@@ -12,8 +12,10 @@ Labels are learnt only from rows whose crc32 of the id, as text, leaves a remain
 other than 2 by 4; labels, language, source and id never are inputs of a score.
 
 Defined cases: a null or empty text gets no votes and is scored by the bias alone; null
-labels are not learnt from; without labels the fixed lists vote alone; repeated rows
-are scored each for itself; an empty table gives no rows; other columns are ignored.
+labels are not learnt from; without labels the fixed lists vote alone; of a repeated id
+one text is learnt from, the smallest, and all rows are scored each for itself; ties of
+the samples' hashes go by id; long texts are read whole; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.llm import hashed_linear
-from larder.llm.common import crc_mod, filter_rows, map_rows, schema_of, staged
+from larder.llm.common import Kept, crc_mod, filter_rows, map_rows, schema_of, staged
 from larder.llm.hashed_linear import words_and_prefixes
 from larder.llm.quality_classifier import labelled_sample
 
@@ -46,8 +48,6 @@ PATTERNS = (re.compile(r"\byou(?:'re| are| were)?\s+(?:all\s+|just\s+|such\s+)?a
 #: What a text must contain for a pattern to match.
 PATTERN_SIGNS = (("you",), ("shut up", "go away", "get lost", "drop dead", "nobody likes"))
 LEARNT_VOTERS = 8
-#: Chunks of text whose units a Python worker keeps.
-KEEP_CHUNKS = 400_000
 #: Bounds: labelled rows and units of the learnt lists, documents of either posterior class that train the classifier.
 LABELLED_ROWS = 6000
 CANDIDATE_UNITS = 20000
@@ -102,21 +102,12 @@ class Voters:
         self.first_pattern = first + LEARNT_VOTERS
         self.count = self.first_pattern + len(PATTERNS)
         self.bases = {u.removesuffix("*2").removesuffix("*3") for u in self.units}
-        self.known: dict[str, tuple[str, ...]] = {}  # the units of a chunk that any list knows; mostly none
+        self.known = Kept(lambda c: tuple(u for u in words_and_prefixes(c) if u in self.bases))  # the units of a chunk that any list knows; mostly none
 
     def votes(self, text: str) -> int:
-        chunks, known = text.split(), self.known
-        try:
-            found = [known[c] for c in chunks]
-        except KeyError:
-            if len(known) > KEEP_CHUNKS:
-                known.clear()
-            for c in chunks:
-                if c not in known:
-                    known[c] = tuple(u for u in words_and_prefixes(c) if u in self.bases)
-            found = [known[c] for c in chunks]
+        known = self.known
         bits = 0
-        for u in repeated(Counter([u for x in found if x for u in x])):
+        for u in repeated(Counter([u for c in text.split() if (x := known[c]) for u in x])):
             bits |= self.units.get(u, 0)
         low = text.lower()
         for k, (pattern, sign) in enumerate(zip(PATTERNS, PATTERN_SIGNS)):
@@ -188,6 +179,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     for is_toxic, most in ((True, TRAIN_TOXIC), (False, TRAIN_CLEAN)):
         chosen.append(marked.filter((F.col("y") >= 0.8) == is_toxic).select("id", "y").orderBy(F.xxhash64("id"), "id").limit(most))
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen[0].unionByName(chosen[1]).groupBy("id").agg(F.max("y").alias("y"))), "id")
+    sample = sample.groupBy("id", "y").agg(F.min("text").alias("text"))  # one text of an id
     return hashed_linear.train(sample.withColumn("w", F.when(F.col("y") > 0.5, 2.0).otherwise(1.0)), "presence", epochs=8, alpha=1.0, l1=6.0, l1_per_row=0.004, l2=0.0)
 
 
