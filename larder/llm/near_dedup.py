@@ -24,7 +24,9 @@ a text with fewer words than a shingle is one shingle; equal texts are one class
 rows are judged each for itself, whatever their ids: of a component's rows the one with
 the smallest id is kept, null ids last and ties by a hash of the whole row, and of rows
 alike in all columns one; a component's id is the smallest id in it, null if all are
-null; an empty table gives no rows; other columns only break ties.
+null; rows without an id are linked, kept or dropped as others are; ids of other types
+than integers are not supported; a long text costs its length in time and its shingles in
+memory; an empty table gives no rows; other columns only break ties, whatever their names.
 """
 
 from __future__ import annotations

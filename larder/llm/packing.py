@@ -15,8 +15,10 @@ Spark ranks the pieces of each length in hash buckets, so that no length, howeve
 common, is ordered in one place.
 
 Defined cases: a null text is the empty text (one piece, the end id alone); repeated
-rows and ids are packed each for itself; an empty table gives no rows; only the id and
-text columns are read.
+rows and ids are packed each for itself; ties in length are ranked by hash, id and piece;
+a long text is encoded whole and cut; an empty table gives no rows; only the id and text
+columns are read. By default the limits on documents and attention cost are so wide that
+only tokens bind; they then weigh ties.
 """
 
 from __future__ import annotations

@@ -173,8 +173,9 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         return np.zeros(hashed_linear.BUCKETS, np.float32)
     table = np.array(rows, np.int64)
     post, _ = label_model(table[:, 0], table[:, 1].astype(float), np.stack([table[:, 3] - table[:, 2], table[:, 2]], axis=1).astype(float), Voters(learnt).count)
+    # so few rows: each set of votes once
     believed = docs.sparkSession.createDataFrame([(int(v), float(p)) for v, p in zip(table[:, 0], post)], "votes long, y double")
-    marked = voted.join(believed, "votes").filter((F.col("y") >= 0.8) | (F.col("y") <= 0.2))
+    marked = voted.join(F.broadcast(believed), "votes").filter((F.col("y") >= 0.8) | (F.col("y") <= 0.2))
     chosen = []
     for is_toxic, most in ((True, TRAIN_TOXIC), (False, TRAIN_CLEAN)):
         chosen.append(marked.filter((F.col("y") >= 0.8) == is_toxic).select("id", "y").orderBy(F.xxhash64("id"), "id").limit(most))
