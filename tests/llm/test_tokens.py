@@ -46,6 +46,18 @@ def test_trie_encoding_of_any_text(word, texts):
     check_word(texts, word)
 
 
+def test_long_words_and_texts(word, byte):
+    """A word of 200,000 letters, a run of as many symbols and digits, and a text of two million characters: as the library has them, in time that rises with the length alone."""
+    import random
+
+    rng = random.Random(2)
+    run = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    texts = [run("abcdefghij", 200_000), run("abcXYZ0123456789+/=", 200_000), " ".join(run("abcdefg", rng.randrange(2, 9)) for _ in range(330_000))]
+    check_word(texts, word)
+    for t in texts:
+        assert token_counts.counter(BYTE).state_map(t) == [(0, 0, len(byte.encode(t, add_special_tokens=False).ids))]
+
+
 def plain_cuts(text, chunk):
     """Chunks of so many characters, and on to where white space follows a visible character."""
     white = lambda c: c.isspace() and c not in "\x1c\x1d\x1e\x1f"
