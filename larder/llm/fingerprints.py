@@ -91,7 +91,9 @@ def resemblance(a: np.ndarray, b: np.ndarray, k: int = 128) -> float:
     """Estimated Jaccard similarity of the shingle sets; exact where both are smaller than k."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    both = np.union1d(a, b)[:k]
+    both = np.union1d(a, b)
+    if max(len(a), len(b)) >= k:  # smaller sketches are whole sets
+        both = both[:k]
     common = np.intersect1d(a, b, assume_unique=True)
     return int(np.searchsorted(common, both[-1], side="right")) / len(both)
 
@@ -100,6 +102,8 @@ def containment(a: np.ndarray, b: np.ndarray, k: int = 128) -> float:
     """Estimated share of a's shingles that b has: the intersection from the resemblance and the size of the union."""
     if not len(a):
         return 1.0
+    if max(len(a), len(b)) < k:
+        return len(np.intersect1d(a, b, assume_unique=True)) / len(a)
     union = distinct(merge([a, b], k), k)
     return min(1.0, resemblance(a, b, k) * union / distinct(a, k))
 
