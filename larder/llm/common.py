@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +59,26 @@ class Kept(dict):
         return value
 
 
+class Cover:
+    """Which places of a text given spans take; asked and added to in time that the number of spans hardly changes."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]] = ()):
+        spans = sorted(spans)
+        self.starts = [a for a, _ in spans]
+        self.ends = list(accumulate((z for _, z in spans), max))
+
+    def meets(self, start: int, end: int) -> bool:
+        """Does any span overlap start to end?"""
+        k = bisect_left(self.starts, end)
+        return k > 0 and self.ends[k - 1] > start
+
+    def add(self, start: int, end: int) -> None:
+        """One more span, which meets none of those here."""
+        k = bisect_left(self.starts, start)
+        self.starts.insert(k, start)
+        self.ends.insert(k, end)
+
+
 def public_tokenizer(name: str) -> str:
     """Where the vocabulary file `name` lies on this machine (the package is installed on every worker)."""
     import public_tokenizers
