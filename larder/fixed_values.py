@@ -86,3 +86,23 @@ STATEFUL_FACTS = ("allergy", "diagnosis", "dialysis", "diet", "enteral_feeding",
 OBSERVATION_FACTS = ("appetite", "gi_observation")
 SOURCE_FIELDS = ("action", "source_category", "source_revision_date")
 STATE_KEY_EXCLUDES = ("action", "discontinued_at", "effective_at", "instructions", "observed_at", "source_category", "source_revision_date", "status")
+
+#: Fixed values of note routing: terms of nutrition, note types that always or only with such a term go on, words of types, and what the text of a note says.
+NUTRITION_TERMS = (
+    "weight", "appetite", "intake", "po intake", "diet", "supplement", "ensure", "glucerna", "prostat", "tube feed", "feeding", "peg", "npo", "refused", "declined", "nausea", "vomiting",
+    "diarrhea", "constipation", "edema", "dehydration", "fluid", "sodium", "potassium", "bun", "creatinine", "gfr", "albumin", "a1c", "glucose", "wound", "pressure ulcer", "dialysis", "hospitalized",
+)
+ALWAYS_SENT_NOTES = ("md progress note", "nurse practitioner progress note", "nurse practioner progress note", "np/pa progress note")
+FILTERED_NOTES = ("order note", "orders - administration note")
+ADMINISTRATION_NOTE = "orders - administration note"
+NUTRITION_NOTE_WORDS = ("dietary", "dietitian", "dietician", "nutrition")
+ASSESSMENT_NOTE_WORDS = ("dietary", "dietitian", "dietician", "nutrition", "skilled documentation", "skin", "wound")
+CLINICAL_TERMS = (
+    r"weight|appetite|meal|po\s+intake|intake|diet|supplement|ensure|glucerna|prostat|tube\s+feed|feeding|peg|npo|chew(?:ing)?|swallow(?:ing)?|dysphagia|nausea|vomiting|diarrhea|constipation|edema|dehydration|"
+    r"fluid\s+restriction|blood\s+sugar|glucose|hypoglyc(?:emia|emic)|hyperglyc(?:emia|emic)|wound|pressure\s+(?:ulcer|injury)|dialysis|hospitali[sz]ed"
+)
+SOCIAL_TERMS = r"food\s+insecurity|food\s+access|meal\s+(?:access|delivery|support)|grocer(?:y|ies)|snap|kitchen|home\s+delivered\s+meal"
+CRITICAL_EVENTS = (
+    r"death|died|deceased|expired|passed\s+away|pronounced\s+(?:dead|deceased)|pronounced\s+by\s+(?:(?:an?|the)\s+)?(?:rn|nurse|physician|doctor|md)|post\s*-?\s*mort(?:al|em)\s+care|funeral\s+home"
+)
+NAMED_PATIENT = r"\b([A-Z][A-Za-z'-]+(?:\s+[A-Z][A-Za-z'-]+){1,3})\s+is\s+a(?:\s*n)?\s+\d{1,3}\s*-\s*year-old\b"

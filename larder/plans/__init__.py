@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("relational", "temporal", "records", "documents", "clinical")
+MODULES = ("relational", "temporal", "records", "documents", "clinical", "notes")
 
 
 def load_all() -> None:
