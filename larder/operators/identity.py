@@ -66,3 +66,71 @@ def new_documents(batch: DataFrame, known: DataFrame, checksum: str = "checksum"
 def valid_keys(keys: DataFrame, permission: str, now: Column) -> DataFrame:
     """API keys that are active, not expired and hold the permission."""
     return keys.filter(F.col("active") & (F.col("expires_at").isNull() | (F.col("expires_at") >= now)) & F.array_contains("permissions", permission))
+
+
+def _compatible(stats: DataFrame, seekers: DataFrame, key: str) -> DataFrame:
+    """(key, lo, hi): the least and greatest root among those that share a name with a seeker, at its facility or where one of the two is unknown. Only two roots for each name and facility meet a seeker, however common the name."""
+    name = ["first_key", "last_key"]
+    ends = [F.min("root").alias("lo"), F.max("root").alias("hi")]
+    everywhere = stats.groupBy(*name).agg(*ends)
+    at = stats.groupBy(*name, "facility_id").agg(*ends)
+    anywhere = seekers.filter("facility_id IS NULL").join(everywhere, name)
+    own = seekers.filter("facility_id IS NOT NULL").join(at, [*name, "facility_id"])
+    unknown = seekers.filter("facility_id IS NOT NULL").join(at.filter("facility_id IS NULL").drop("facility_id"), name)
+    met = [d.select(key, "lo", "hi") for d in (anywhere, own, unknown)]
+    return met[0].unionByName(met[1]).unionByName(met[2]).groupBy(key).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
+def resolve_new(records: DataFrame, record: str = "record_id") -> DataFrame:
+    """(record, status, person_key) for records of people who are not stored yet, in any order.
+
+    A record is known by its identifier and facility, by its names and birth date, or by
+    both: then the two are one person, and so on along chains. People so found with more
+    than one birth date are a conflict. One without birth date joins the one dated person
+    of its name who has no identifier, at the same facility or where one is unknown; a
+    record with a name alone joins the one person of that name. Where several would do,
+    it is ambiguous; a name alone that nobody has is insufficient. `person_key` is one
+    for all records of a person, null unless the status is new.
+    """
+    from larder.operators.components import components
+    from larder.sources.staging import written
+
+    name = ["first_key", "last_key"]
+    r = normalised(records)
+    full = (F.col("first_key") != "") & (F.col("last_key") != "")
+    by_name = F.when(full & F.col("date_of_birth").isNotNull(), identity_hash(F.lit("name"), *map(F.col, name), F.col("date_of_birth").cast("string")))
+    by_id = F.when(F.col("identifier").isNotNull(), identity_hash(F.lit("id"), F.col("identifier"), F.col("facility_id").cast("string")))
+    r = r.select(record, *(F.when(full, F.col(c)).alias(c) for c in name), "date_of_birth", "identifier", "facility_id", by_name.alias("by_name"), by_id.alias("by_id"))
+    r = written(r, "identities")
+    roots = components(r.select(F.coalesce("by_name", "by_id").alias("a"), F.coalesce("by_id", "by_name").alias("b")))
+    keyed = r.withColumn("node", F.coalesce("by_name", "by_id")).join(roots, "node", "left").drop("node")
+    keyed = written(keyed, "identities")
+    people = keyed.filter("root IS NOT NULL").groupBy("root").agg(
+        F.count_distinct("date_of_birth").alias("births"), F.bool_or(F.col("identifier").isNotNull()).alias("identified"), F.bool_or(F.col("facility_id").isNotNull()).alias("placed")
+    )
+    # where each person's names are known to be; an unknown facility counts only for people who have no other
+    seen = keyed.filter(F.col("root").isNotNull() & F.col("first_key").isNotNull()).select("root", *name).distinct()
+    where = keyed.filter("root IS NOT NULL").select("root", "facility_id").distinct().join(people, "root").filter("facility_id IS NOT NULL OR NOT placed")
+    places = written(seen.join(where, "root"), "identities")
+    undated = places.filter("births = 0 AND identified")
+    joined = _compatible(places.filter("births = 1 AND NOT identified"), undated.withColumnRenamed("root", "seeker"), "seeker")
+    moved = people.join(joined.withColumnRenamed("seeker", "root"), "root", "left").select(
+        "root", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("root")).alias("person"),
+        F.when(F.col("births") > 1, "conflict").when(F.col("lo") != F.col("hi"), "ambiguous").otherwise("new").alias("status"),
+    )
+    moved = written(moved, "identities")
+    settled = places.join(moved.filter("status <> 'ambiguous'"), "root").select(*name, "facility_id", F.col("person").alias("root"))
+    named = keyed.filter("root IS NULL AND first_key IS NOT NULL")
+    found = _compatible(settled, named.select(record, *name, "facility_id"), record)
+    alone = keyed.filter("root IS NULL").select(record).join(found, record, "left").join(moved.select(F.col("root").alias("lo"), F.col("status").alias("of")), "lo", "left")
+    alone = alone.select(record, F.when(F.col("lo").isNull(), "insufficient").when(F.col("lo") != F.col("hi"), "ambiguous").otherwise(F.col("of")).alias("status"), F.col("lo").alias("person"))
+    rest = keyed.filter("root IS NOT NULL").select(record, "root").join(moved, "root").select(record, "status", "person")
+    return rest.unionByName(alone).select(record, "status", F.when(F.col("status") == "new", F.col("person")).alias("person_key"))
+
+
+def resolve_batch(records: DataFrame, people: DataFrame, record: str = "record_id") -> DataFrame:
+    """`resolve` against the stored people, then `resolve_new` among what they leave: (record, status, person_id, person_key)."""
+    first = resolve(records, people, record)
+    new = resolve_new(records.join(first.filter("status = 'new'").select(record), record, "left_semi"), record)
+    kept = first.filter("status <> 'new'").select(record, "status", "person_id").withColumn("person_key", F.lit(None).cast("string"))
+    return kept.unionByName(new.withColumn("person_id", F.lit(None).cast(first.schema["person_id"].dataType)).select(record, "status", "person_id", "person_key"))

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("relational", "temporal", "records", "documents", "clinical", "notes")
+MODULES = ("relational", "temporal", "records", "documents", "clinical", "notes", "people")
 
 
 def load_all() -> None:
