@@ -54,6 +54,47 @@ def upsert(table: DataFrame, new: DataFrame, keys: list[str], observed: str | No
     return kept.groupBy(*keys).agg(*aggs)
 
 
+def merge_by_type(table: DataFrame, new: DataFrame, policies: dict[str, dict], kind: str = "kind", keys: tuple[str, ...] = ("person_id", "record_key"), payload: str = "payload", observed: str = "observed_at", seq: str = "seq", fact: str = "fact_id") -> tuple[DataFrame, DataFrame]:
+    """`upsert` for rows of many record types at once, as (merged, detached): one shuffle for all types, each by its own policy.
+
+    The payload is a VARIANT object, so rows of a type carry the fields of that type. A
+    policy names the fields that the last row overwrites, those that only a known value
+    does, and whether rows older than the newest so far are dropped (`guard`); a field that it does not
+    name keeps what the key's first row has. Types without a policy are an error. The fact
+    of a guarded type is that of its last row that has one, else the first row's; the
+    facts of rows that the merge has used up are `detached` (kind, keys, fact).
+    """
+    fields = sorted({f for p in policies.values() for f in (*p["overwrite"], *p["fill"], *p.get("keep", ()))})
+    is_in = lambda name: {f: [k for k, p in policies.items() if f in p.get(name, ())] for f in fields}
+    over, fill = is_in("overwrite"), is_in("fill")
+    guarded = [k for k, p in policies.items() if p["guard"]]
+    known = required(F.col(kind).isin(*policies), "a record type has no merge policy")
+    both = table.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1))).filter(known)
+    before = Window.partitionBy(kind, *keys).orderBy("_new", seq).rowsBetween(Window.unboundedPreceding, -1)
+    is_guarded = F.col(kind).isin(*guarded)
+    newest = F.max(observed).over(before)
+    kept = both.withColumn("_newest", newest).withColumn("_stale", is_guarded & F.coalesce(F.col(observed) < F.col("_newest"), F.lit(False)))
+    rank = lambda sign: F.struct((F.col("_new") * sign).cast("long").alias("a"), (F.col(seq) * sign).cast("long").alias("b"))
+    live, last, first = ~F.col("_stale"), rank(1), rank(-1)
+    value = lambda f: F.try_variant_get(payload, f"$.{f}", "variant")
+    has = lambda f: value(f).isNotNull() & ~F.is_variant_null(value(f))
+
+    def place(f):
+        return F.when(~live, None).when(F.col(kind).isin(*over[f]), last).when(F.col(kind).isin(*fill[f]), F.when(has(f), last)).otherwise(first)
+
+    taken = [F.max_by(F.to_json(F.struct(value(f).alias("v"))), place(f)).alias(f"_f{k}") for k, f in enumerate(fields)]
+    own_fact = F.coalesce(F.max_by(fact, F.when(live & is_guarded & F.col(fact).isNotNull(), last)), F.max_by(fact, F.when(live, first)))
+    merged = kept.groupBy(kind, *keys).agg(*taken, own_fact.alias(fact), F.max(observed).alias(observed), F.max(seq).alias(seq))
+    # each field is a JSON object of one member or none, so that values of any type stay as they are
+    inner = [F.when(F.length(f"_f{k}") > 2, F.concat(F.lit(f'"{f}":'), F.expr(f"substring(_f{k}, 6, length(_f{k}) - 6)"))) for k, f in enumerate(fields)]
+    whole = F.parse_json(F.concat(F.lit("{"), F.concat_ws(",", *inner), F.lit("}")))
+    rows = merged.select(kind, *keys, whole.alias(payload), observed, seq, fact)
+    held = rows.select(kind, *keys, F.col(fact).alias("_held"))
+    facts = both.filter(F.col(fact).isNotNull()).select(kind, *keys, fact).distinct()
+    detached = facts.join(held, [kind, *keys]).filter(~F.col(fact).eqNullSafe(F.col("_held"))).drop("_held")
+    return rows, detached
+
+
 def fill_missing(table: DataFrame, new: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Only what the table does not know is taken from the new rows, one for each key."""
     got = new.select(*keys, *(F.col(c).alias(f"_{c}") for c in columns))

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("relational", "temporal", "records", "documents", "clinical", "notes", "people")
+MODULES = ("relational", "temporal", "records", "documents", "clinical", "notes", "people", "facts")
 
 
 def load_all() -> None:
