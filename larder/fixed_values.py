@@ -106,3 +106,17 @@ CRITICAL_EVENTS = (
     r"death|died|deceased|expired|passed\s+away|pronounced\s+(?:dead|deceased)|pronounced\s+by\s+(?:(?:an?|the)\s+)?(?:rn|nurse|physician|doctor|md)|post\s*-?\s*mort(?:al|em)\s+care|funeral\s+home"
 )
 NAMED_PATIENT = r"\b([A-Z][A-Za-z'-]+(?:\s+[A-Z][A-Za-z'-]+){1,3})\s+is\s+a(?:\s*n)?\s+\d{1,3}\s*-\s*year-old\b"
+
+#: Fixed values of order listings: the category, status and dates that close an order, the line that names its person, what is page furniture, dates and times of a report, and lines that are no facility's name.
+ORDER_CATEGORY = (
+    r"\s*(Dietary\s*-\s*Diet|Dietary\s*-\s*Supplements|Dietary\s*-|Enteral\s*-\s*Feed|Enteral Feed|Pharmacy|Other|Laboratory|Diagnostic)\s+(Active|Inactive|Discontinued|Completed)\s+(\d{2}/\d{2}/\d{4})"
+    r"(?:\s+(\d{2}/\d{2}/\d{4}))?(?:\s+([YN]))?"
+)
+ORDER_PERSON = r"^([^()\n]+,\s*[^()\n]+?)\s*\(([A-Z]{0,4}\d+)\)\s*(.*)$"
+ORDER_FURNITURE = ("Order Listing Report", "Facility #:", "Date:", "Time:", "Resident:", "Resident :", "Resident Order", "Page ")
+ORDER_COLUMNS = "Name Summary Category Status Date Last Order Date Reorder"
+ORDER_TITLE = "Order Listing Report"
+ACTIVE_SNAPSHOT = r"(?i)\bOrder\s+Status\s*:\s*Active\b"
+REPORT_DATE = r"(?i)\bDate\s*:\s*(\d{1,2}/\d{1,2}/\d{4}|[A-Z]{3,9}\s+\d{1,2},\s+\d{4})\b"
+REPORT_TIME = r"(?i)\bTime\s*:\s*(\d{1,2}:\d{2}(?::\d{2})?(?:\s*[AP]M)?)(?:\s*([A-Z]{2,5}))?\b"
+NO_FACILITY = ("Facility", "Time:", "Date:", "Resident:", "User:", "Laboratory:", "Reviewed By", "Latest Version")

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("relational", "temporal", "records", "documents", "clinical", "notes", "people", "facts")
+MODULES = ("relational", "temporal", "records", "documents", "clinical", "notes", "people", "facts", "orders")
 
 
 def load_all() -> None:
