@@ -120,3 +120,13 @@ ACTIVE_SNAPSHOT = r"(?i)\bOrder\s+Status\s*:\s*Active\b"
 REPORT_DATE = r"(?i)\bDate\s*:\s*(\d{1,2}/\d{1,2}/\d{4}|[A-Z]{3,9}\s+\d{1,2},\s+\d{4})\b"
 REPORT_TIME = r"(?i)\bTime\s*:\s*(\d{1,2}:\d{2}(?::\d{2})?(?:\s*[AP]M)?)(?:\s*([A-Z]{2,5}))?\b"
 NO_FACILITY = ("Facility", "Time:", "Date:", "Resident:", "User:", "Laboratory:", "Reviewed By", "Latest Version")
+
+#: Fixed values of wound reports: the column that begins the table, the report's days, its facility, and the columns by the field that each fills.
+WOUND_HEADER = "Patient Number"
+WOUND_FACILITY = r"(?m)^Facility:\s*([^,\r\n]+)"
+WOUND_COLUMNS = {
+    "wound_number": "Wnd #", "wound_type": "Wound Type", "location": "Wound Location", "weeks_in_treatment": "Weeks In Treatment", "progress": "Wound Progress", "stage": "Stage", "size": "Size (LxWxD) cm",
+    "assessment_note": "Assessment Note", "physician_orders": "Physician Orders", "physician_orders_notes": "Physician Orders Notes",
+}
+#: Fixed values of food sources by the type that a service names.
+FOOD_SOURCES = {"branded": "usda_branded", "foundation": "usda_foundation", "survey (fndds)": "usda_fndds", "sr legacy": "usda_sr_legacy"}

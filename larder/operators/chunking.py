@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
 from larder.operators.relational import required
 
 
@@ -27,8 +31,58 @@ def chunks(df: DataFrame, keys: list[str], tokens: Column, size: int = 600, over
     rows = rows.select(*keys, "_t", "_title", F.posexplode(window_starts(F.size("_t"), size, overlap)).alias("chunk_index", "_at"))
     part = F.slice("_t", F.col("_at") + 1, F.lit(size))
     body = F.array_join(part, " ")
-    whole = F.when(F.col("_title").isNull() | F.startswith(F.lower(body), F.lower("_title")), body).otherwise(F.concat("_title", F.lit("\n\n"), body))
-    return rows.select(*keys, "chunk_index", F.size(part).alias("n_tokens"), whole.alias("content"))
+    return rows.select(*keys, "chunk_index", F.size(part).alias("n_tokens"), titled(F.col("_title"), body).alias("content"))
+
+
+def titled(title: Column, body: Column) -> Column:
+    """The title before a chunk that does not begin with it, without case."""
+    return F.when(title.isNull() | F.startswith(F.lower(body), F.lower(title)), body).otherwise(F.concat(title, F.lit("\n\n"), body))
+
+
+@lru_cache(maxsize=2)
+def _vocabulary(ranks: str, pattern: str):
+    """The library's encoding by a local rank file, once for each Python worker."""
+    import base64
+
+    import tiktoken
+
+    with open(ranks, "rb") as f:
+        known = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
+    return tiktoken.Encoding(ranks, pat_str=pattern, mergeable_ranks=known, special_tokens={})
+
+
+def vocabulary_windows(text: Column, ranks: str, pattern: str, size: int = 600, overlap: int = 100) -> Column:
+    """array<struct<n_tokens, content>>: windows over the tokens of a vocabulary, whose rank file lies at `ranks` on every worker.
+
+    Windows are cut by token offsets in the text's bytes; where a cut falls within a
+    character, its halves read as replacement characters. Special strings are plain text; a null or empty text has no windows.
+    """
+    if size <= 0 or not 0 <= overlap < size:
+        raise ValueError("a window has tokens, and its overlap is smaller than it")
+
+    @F.pandas_udf("array<struct<n_tokens:int,content:string>>")
+    def windows(texts: pd.Series) -> pd.Series:
+        library = _vocabulary(ranks, pattern)
+
+        def of(t):
+            ids = library.encode_ordinary(t) if t else []
+            out = []
+            for at in range(0, len(ids), size - overlap):
+                if at and at == len(ids) - overlap:
+                    break  # the window before ended with the last token
+                part = ids[at : at + size]
+                out.append({"n_tokens": len(part), "content": library.decode_bytes(part).decode("utf-8", errors="replace")})
+            return out
+
+        return texts.map(of)
+
+    return windows(text)
+
+
+def vocabulary_chunks(df: DataFrame, keys: list[str], text: str, ranks: str, pattern: str, size: int = 600, overlap: int = 100, title: Column | None = None) -> DataFrame:
+    """`chunks` over the tokens of a vocabulary instead of words."""
+    rows = df.select(*keys, (F.lit(None).cast("string") if title is None else title).alias("_title"), F.posexplode(vocabulary_windows(F.col(text), ranks, pattern, size, overlap)).alias("chunk_index", "_w"))
+    return rows.select(*keys, "chunk_index", "_w.n_tokens", titled(F.col("_title"), F.col("_w.content")).alias("content"))
 
 
 def zip_vectors(df: DataFrame, chunk_list: str, vector_list: str, keys: list[str]) -> DataFrame:

@@ -102,19 +102,19 @@ def fill_missing(table: DataFrame, new: DataFrame, keys: list[str], columns: lis
     return out.withColumns({c: F.coalesce(c, f"_{c}") for c in columns}).drop(*(f"_{c}" for c in columns))
 
 
-def union_texts(df: DataFrame, keys: list[str], order: str, text: list[str], fill: list[str], most: int = 1000) -> DataFrame:
+def union_texts(df: DataFrame, keys: list[str], order: str, text: list[str], fill: list[str]) -> DataFrame:
     """Rows of one key become one: texts are united in order, other columns keep the first value known.
 
-    A key's texts meet in one array, so a key of more than `most` rows is an error, not
-    silently cut: the job fails.
+    A text that comes again, in any case, changes nothing, so each is taken once before a
+    key's texts meet: what meets is what the united text is made of, however many rows there are.
     """
-    lists = df.groupBy(*keys).agg(
-        F.count("*").alias("_n"),
-        *(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(c).alias("t")))).alias(c) for c in text),
-        *(F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in fill),
-    )
-    lists = lists.filter(required(F.col("_n") <= most, "a key has too many texts to unite")).drop("_n")
-    return lists.withColumns({c: F.aggregate(F.col(c), F.lit(None).cast("string"), lambda a, x: text_union(a, x["t"])) for c in text})
+    out = df.groupBy(*keys).agg(F.min(order).alias("_order"), *(F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in fill)).drop("_order")
+    for c in text:
+        once = df.filter(F.trim(c) != "").groupBy(*keys, F.lower(F.trim(c)).alias("_same")).agg(F.min(order).alias("_at"), F.min_by(c, order).alias("_text"))
+        lists = once.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_at", "_text"))).alias("_texts"))
+        united = F.aggregate("_texts", F.lit(None).cast("string"), lambda a, x: text_union(a, x["_text"]))
+        out = out.join(lists.select(*(F.col(k).alias(f"_{k}") for k in keys), united.alias(c)), reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys)), "left").drop(*(f"_{k}" for k in keys))
+    return out
 
 
 def reconcile_snapshot(table: DataFrame, snapshot: DataFrame, person: str, scope: list[str], identity: list[str], payload: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("relational", "temporal", "records", "documents", "clinical", "notes", "people", "facts", "orders")
+MODULES = ("relational", "temporal", "records", "documents", "clinical", "notes", "people", "facts", "orders", "reports")
 
 
 def load_all() -> None:

@@ -28,7 +28,7 @@ def guarded(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def decoded(content: Column) -> Column:
     """UTF-8 text without a byte order mark."""
-    return F.regexp_replace(F.decode(content, "UTF-8"), "^﻿", "")
+    return F.regexp_replace(F.decode(content, "UTF-8"), "^\ufeff", "")
 
 
 def document_text(pages: DataFrame, doc: str = "doc", number: str = "page_number", text: str = "text") -> DataFrame:
@@ -58,15 +58,40 @@ def report_kind(first_page: Column) -> Column:
     return dispatch([(name, F.coalesce(has_marker(first_page, m), F.lit(False))) for name, m in REPORT_MARKERS.items()], "unknown")
 
 
+#: A cell with what ends it: quoted, with doubled quotes and line breaks inside, or plain up to the next comma or line break. A quote that is never closed takes all the rest but a last line break.
+_CELL = r'(?:"[^"]*+(?:""[^"]*+)*+(?:"[^,\n]*+|\z)|[^,\n]*+)(?:,|\n|\z)'
+
+
+def csv_records(texts: DataFrame, doc: str, text: str) -> DataFrame:
+    """(doc, record, cells): the records of CSV texts, also where quoted cells hold line breaks, commas or doubled quotes; blank lines are none.
+
+    Cells are cut by one pattern over the whole text, and the cells that end a line,
+    counted up to each, number the records; nothing is parsed line by line.
+    """
+    unix = F.regexp_replace(text, "\r\n?", "\n")
+    ended = F.when(unix.endswith("\n"), unix).otherwise(F.concat(unix, F.lit("\n")))
+    tokens = F.filter(F.regexp_extract_all(ended, F.lit(_CELL), 0), lambda t: t != "")
+    each = texts.select(doc, F.posexplode(tokens).alias("_at", "_raw"))
+    raw = F.regexp_replace("_raw", r"[,\n]\z", "")
+    quoted = F.concat(F.replace(F.regexp_extract(raw, r'\A"([^"]*+(?:""[^"]*+)*+)"?', 1), F.lit('""'), F.lit('"')), F.regexp_extract(raw, r'\A"[^"]*+(?:""[^"]*+)*+"([\s\S]*)\z', 1))
+    cell = F.when(raw.startswith('"'), quoted).otherwise(raw)
+    before = Window.partitionBy(doc).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = each.withColumn("record", F.coalesce(F.count_if(F.col("_raw").endswith("\n")).over(before), F.lit(0)).cast("int")).withColumn("_cell", cell)
+    cells = F.transform(F.array_sort(F.collect_list(F.struct("_at", "_cell"))), lambda c: c["_cell"])
+    return numbered.groupBy(doc, "record").agg(cells.alias("cells")).filter((F.size("cells") > 1) | (F.get("cells", F.lit(0)) != ""))
+
+
+def after_header(records: DataFrame, doc: str, header: str) -> DataFrame:
+    """(doc, record, cells, header): the records after the first whose first cell is `header`, with that record's cells, all trimmed."""
+    trimmed = records.withColumn("cells", F.transform("cells", lambda c: F.trim(c)))
+    first = trimmed.filter(F.get("cells", F.lit(0)) == header).groupBy(doc).agg(F.min_by("cells", "record").alias("header"), F.min("record").alias("_from"))
+    return trimmed.join(first, doc).filter(F.col("record") > F.col("_from")).drop("_from")
+
+
 def csv_report(texts: DataFrame, doc: str, text: str, header: str, columns: list[str]) -> DataFrame:
-    """Rows of a CSV report after the line whose first cell is `header`; short rows are padded with empty cells."""
-    rows = lines_of(texts.select(doc, F.regexp_replace(text, "\r\n?", "\n").alias("text")), [doc])
-    schema = ", ".join(f"c{k} string" for k in range(len(columns)))
-    cells = F.from_csv("line", schema)
-    rows = rows.withColumn("cells", cells).withColumn("is_header", F.trim("cells.c0") == header)
-    start = F.min(F.when(F.col("is_header"), F.col("line_number"))).over(Window.partitionBy(doc))
-    body = rows.withColumn("start", start).filter((F.col("line_number") > F.col("start")) & (F.trim("line") != ""))
-    return body.select(doc, "line_number", *(F.coalesce(f"cells.c{k}", F.lit("")).alias(c) for k, c in enumerate(columns)))
+    """Rows of a CSV report after the record whose first cell is `header`; short rows are padded with empty cells."""
+    body = after_header(csv_records(texts, doc, text), doc, header)
+    return body.select(doc, F.col("record").alias("line_number"), *(F.coalesce(F.get("cells", F.lit(k)), F.lit("")).alias(c) for k, c in enumerate(columns)))
 
 
 def unique_names(files: DataFrame, name: str = "name", order: str = "ord") -> DataFrame:

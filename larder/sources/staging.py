@@ -19,8 +19,8 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df`, written to the shared folder and read again."""
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """`df`, written to the shared folder and read again; with `by`, in a folder for each value of that column, so that a filter on it reads one folder only."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
