@@ -1,10 +1,8 @@
-"""The driver's tables, and versioned tables of our own."""
+"""The driver's tables, and tables that grow by batches."""
 
 from __future__ import annotations
 
-import re
-import uuid
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,45 +13,49 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c, kind in df.dtypes if kind == "timestamp_ntz"})
 
 
-class VersionedTable:
-    """A table of numbered, immutable Parquet versions under one folder.
+class BatchTables:
+    """Tables under one folder that grow by batches, all of a batch's tables or none.
 
-    A version is a folder `v-<number>-<mark>-<unique>` that Spark's own commit has closed
-    with `_SUCCESS`; readers see the one with the highest number. So there is no pointer to
-    move: a writer that dies leaves an unclosed folder, which no one reads, and the version
-    before it stands. The mark says what was applied, whether the version has rows or not.
-    One writer at a time.
+    A batch is appended to each table as a partition of its own (the writing query and
+    the batch's number), and counts once its row stands in the table `commits`, which is
+    written last. So readers never see half a batch, whichever table they read, a batch
+    that is written again after a failure replaces its own partitions only, and one that is committed
+    already is left alone. Nothing is rewritten: what is current is a grouped query over
+    the rows. One writer of a query at a time.
     """
 
-    NAME = re.compile(r"v-(\d{12})-(.*)-[0-9a-f]{32}")
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def versions(self) -> list[tuple[int, str, str]]:
-        """(number, mark, folder) of every closed version, rising."""
-        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        fs = where(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        closed = fs.globStatus(where(f"{self.path}/v-*/_SUCCESS")) or []
-        found = ((self.NAME.fullmatch(name), name) for name in (f.getPath().getParent().getName() for f in closed))
-        return sorted((int(m[1]), m[2], name) for m, name in found if m)
-
-    def version(self) -> str | None:
-        found = self.versions()
-        return found[-1][2] if found else None
-
-    def mark(self) -> str | None:
-        """What the newest version notes as applied."""
-        found = self.versions()
-        return found[-1][1] if found else None
-
-    def read(self) -> DataFrame | None:
-        version = self.version()
-        return None if version is None else self.spark.read.parquet(f"{self.path}/{version}")
-
-    def publish(self, df: DataFrame, mark: str = "") -> str:
-        """Write the next version; Spark's commit makes it the one that readers see."""
-        found = self.versions()
-        version = f"v-{(found[-1][0] + 1 if found else 0):012d}-{mark}-{uuid.uuid4().hex}"
-        df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(f"{self.path}/{version}")
-        return version
+    COMMITS = "commits"
+
+    def __init__(self, spark: SparkSession, root: str, schemas: dict[str, str]):
+        self.spark, self.root = spark, root.rstrip("/")
+        self.schemas = {**schemas, self.COMMITS: "batch_order long"}
+
+    def _all(self, name: str) -> DataFrame:
+        schema = f"{self.schemas[name]}, batch_query string, batch_id long"
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)
+
+    def _put(self, name: str, rows: DataFrame, query: str, batch: int) -> None:
+        own = rows.withColumns({"batch_query": F.lit(query), "batch_id": F.lit(batch).cast("long")})
+        own.write.partitionBy("batch_query", "batch_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{self.root}/{name}")
+
+    def committed(self, query: str, batch: int) -> bool:
+        return not self._all(self.COMMITS).filter((F.col("batch_query") == query) & (F.col("batch_id") == batch)).isEmpty()
+
+    def append(self, rows: dict[str, DataFrame], query: str, batch: int) -> bool:
+        """Append a batch to its tables; False where it was committed before."""
+        if self.committed(query, batch):
+            return False
+        for name, df in rows.items():
+            self._put(name, df.select(*(c.strip().split(" ")[0] for c in self.schemas[name].split(","))), query, batch)
+        last = self._all(self.COMMITS).agg(F.coalesce(F.max("batch_order"), F.lit(-1)).cast("long").alias("n"))
+        self._put(self.COMMITS, last.select((F.col("n") + 1).alias("batch_order")), query, batch)
+        return True
+
+    def read(self, name: str) -> DataFrame:
+        """The rows of all committed batches, with `batch_order`, in which they were committed."""
+        return self._all(name).join(self._all(self.COMMITS), ["batch_query", "batch_id"]).drop("batch_query", "batch_id")

@@ -1,4 +1,4 @@
-"""Micro-batches over the same merges: each batch is applied whole or not at all."""
+"""Micro-batches: each is appended whole or not at all, and what is current is a grouped query over them."""
 
 from __future__ import annotations
 
@@ -10,44 +10,32 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from larder.operators import merge
-from larder.operators.identity import new_documents
-from larder.sources.tables import VersionedTable
+from larder.operators.temporal import first_wins
+from larder.sources.tables import BatchTables
 
 
-def apply_batches(stream: DataFrame, target: VersionedTable, step: Callable[[DataFrame | None, DataFrame], DataFrame], checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Run `step(table or None, batch)` for each batch and publish its result. The version's mark notes the streaming query, by the id in its checkpoint, and the last batch applied: a batch that is replayed is skipped, one of another query, as under a new checkpoint, is not."""
+def append_batches(stream: DataFrame, tables: BatchTables, split: Callable[[DataFrame], dict[str, DataFrame]], checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Append what `split` makes of each micro-batch to its tables, all of them or none. A batch is known by the streaming query, whose id is kept in the checkpoint, and its number: one that is replayed is not taken twice, one of another query is."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         query_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
         own = (query_id or hashlib.sha256(checkpoint.encode()).hexdigest()).replace("-", "")[:16]
-        query, _, last = (target.mark() or "").partition(".")
-        if query == own and int(last) >= batch_id:
-            return
-        target.publish(step(target.read(), batch), f"{own}.{batch_id}")
+        tables.append(split(batch), own, batch_id)
 
     writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def upsert_step(keys: list[str], observed: str | None, seq: str, overwrite: list[str], fill: list[str]):
-    """Out-of-order observations: rows older than what is stored are dropped."""
-
-    def step(table: DataFrame | None, batch: DataFrame) -> DataFrame:
-        columns = list(dict.fromkeys([*keys, *overwrite, *fill, *([observed] if observed else []), seq]))
-        batch = batch.select(*columns)
-        return merge.upsert(batch.limit(0) if table is None else table.select(*columns), batch, keys, observed, seq, overwrite, fill)
-
-    return step
+def current_rows(rows: DataFrame, keys: list[str], observed: str | None, seq: str, overwrite: list[str], fill: list[str]) -> DataFrame:
+    """What out-of-order observations, appended batch by batch, have made of each key: the fold of `merge.upsert` over all batches in the order of their commits. Rows older than what was known are without effect, however late they came."""
+    columns = list(dict.fromkeys([*keys, *overwrite, *fill, *([observed] if observed else [])]))
+    placed = rows.select(*columns, F.struct("batch_order", F.col(seq)).alias("_seq"))
+    return merge.upsert(placed.limit(0), placed, keys, observed, "_seq", overwrite, fill).withColumn(seq, F.col(f"_seq.{seq}")).drop("_seq")
 
 
-def ingest_step(checksum: str = "checksum", order: str = "path"):
-    """Effectively once: a document whose checksum is stored is not taken again, however late it comes."""
-
-    def step(table: DataFrame | None, batch: DataFrame) -> DataFrame:
-        known = batch.limit(0) if table is None else table
-        return known.unionByName(new_documents(batch, known, checksum, order).select(*known.columns))
-
-    return step
+def first_documents(rows: DataFrame, checksum: str = "checksum", order: str = "path") -> DataFrame:
+    """Effectively once: of documents with one checksum the one that was committed first, however often it came again."""
+    return first_wins(rows, [checksum], [F.col("batch_order"), F.col(order)])
 
 
 def snapshot_step(person: str, scope: list[str], identity: list[str], payload: list[str]):

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larder.sources import documents, foods
-from larder.sources.tables import VersionedTable
+from larder.sources.tables import BatchTables
 from larder.streaming import incremental
 
 
@@ -31,18 +31,28 @@ def test_files_and_names(spark, tmp_path):
     assert [r["stored"] for r in documents.unique_names(names).orderBy("ord").collect()] == ["A.pdf", "a-2.pdf", "b"]
 
 
-def test_versions(spark, tmp_path):
-    table = VersionedTable(spark, str(tmp_path / "t"))
-    assert table.read() is None
-    table.publish(spark.range(3))
-    first = table.version()
-    table.publish(table.read().filter("id > 0"))
-    assert table.read().count() == 2 and table.version() != first
-    # a writer that dies leaves a folder that was not closed: the version before it stands
-    (tmp_path / "t" / f"v-{9:012d}-x.9-{'0' * 32}").mkdir()
-    assert table.read().count() == 2
-    table.publish(spark.range(0), "x.3")
-    assert table.read().count() == 0 and table.mark() == "x.3" and [n for n, _, _ in table.versions()] == [0, 1, 2]
+def test_batches_count_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    tables = BatchTables(spark, str(tmp_path / "t"), {"a": "k int, v string", "b": "n long"})
+    assert tables.read("a").count() == tables.read("b").count() == 0
+    one = {"a": spark.createDataFrame([(1, "x")], "k int, v string"), "b": spark.range(2).withColumnRenamed("id", "n")}
+    assert tables.append(one, "q", 0) and not tables.append(one, "q", 0)  # the same batch again
+    assert tables.append({"a": one["a"], "b": one["b"].limit(0)}, "other", 0)
+    assert sorted(map(tuple, tables.read("a").collect())) == [(1, "x", 0), (1, "x", 1)] and tables.read("b").count() == 2
+    # a writer that dies between its tables: nothing of its batch is seen, and its second attempt replaces what it left
+    put = BatchTables._put
+
+    def dies(self, name, *rest):
+        if name == "b":
+            raise OSError("gone")
+        put(self, name, *rest)
+
+    monkeypatch.setattr(BatchTables, "_put", dies)
+    with pytest.raises(OSError):
+        tables.append({"a": spark.createDataFrame([(7, "half")], "k int, v string"), "b": one["b"]}, "q", 1)
+    assert tables.read("a").count() == 2
+    monkeypatch.setattr(BatchTables, "_put", put)
+    assert tables.append({"a": spark.createDataFrame([(8, "whole")], "k int, v string"), "b": one["b"]}, "q", 1)
+    assert sorted(r.k for r in tables.read("a").collect()) == [1, 1, 8] and tables.read("b").count() == 4
 
 
 def test_backoff_and_retries():
@@ -84,23 +94,22 @@ def test_food_shapes(spark):
 
 
 def test_stream_of_batches(spark, tmp_path):
-    source, table = tmp_path / "in", VersionedTable(spark, str(tmp_path / "table"))
-    schema = "p int, t timestamp, v double, seq int"
-    step = incremental.upsert_step(["p"], "t", "seq", ["v"], [])
+    source, schema = tmp_path / "in", "p int, t timestamp, v double, seq int"
+    tables = BatchTables(spark, str(tmp_path / "tables"), {"seen": schema, "counts": "n long"})
+    split = lambda batch: {"seen": batch, "counts": batch.groupBy().count().withColumnRenamed("count", "n")}
+    run = lambda path, mark: incremental.append_batches(incremental.read_files(spark, str(path), schema), tables, split, str(tmp_path / mark)).awaitTermination()
+    current = lambda: [tuple(r) for r in incremental.current_rows(tables.read("seen"), ["p"], "t", "seq", ["v"], []).select("p", "v").orderBy("p").collect()]
     day = lambda d: dt.datetime(2026, 1, d)
-    for k, batch in enumerate([[(1, day(5), 5.0, 1)], [(1, day(3), 3.0, 2), (2, day(1), 1.0, 3)], [(1, day(5), 6.0, 4)]]):
+    for batch in ([(1, day(5), 5.0, 1)], [(1, day(3), 3.0, 2), (2, day(1), 1.0, 3)], [(1, day(5), 6.0, 4)]):
         spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(source))
-        incremental.apply_batches(incremental.read_files(spark, str(source), schema), table, step, str(tmp_path / "checkpoint")).awaitTermination()
-    assert [tuple(r) for r in table.read().select("p", "v").orderBy("p").collect()] == [(1, 6.0), (2, 1.0)]
-    # another query over the same table, whose batches count from 0 again, is not taken for a replay
+        run(source, "checkpoint")
+    assert current() == [(1, 6.0), (2, 1.0)] and sorted(r.n for r in tables.read("counts").collect()) == [1, 1, 2]
+    # another query over the same tables, whose batches count from 0 again, is not taken for a replay
     spark.createDataFrame([(3, day(9), 9.0, 5)], schema).write.parquet(str(tmp_path / "more"))
-    incremental.apply_batches(incremental.read_files(spark, str(tmp_path / "more"), schema), table, step, str(tmp_path / "other")).awaitTermination()
-    assert table.read().filter("p = 3 AND v = 9").count() == 1 and table.read().count() == 3
+    run(tmp_path / "more", "other")
+    assert current() == [(1, 6.0), (2, 1.0), (3, 9.0)]
 
 
-def test_ingest_once(spark):
-    step = incremental.ingest_step()
-    first = spark.createDataFrame([("c1", "b"), ("c1", "a"), ("c2", "c")], "checksum string, path string")
-    table = step(None, first)
-    again = step(table, spark.createDataFrame([("c2", "z"), ("c3", "d")], "checksum string, path string"))
-    assert sorted(tuple(r) for r in again.collect()) == [("c1", "a"), ("c2", "c"), ("c3", "d")]
+def test_documents_once(spark):
+    rows = spark.createDataFrame([("c1", "b", 0), ("c1", "a", 0), ("c2", "c", 0), ("c2", "a", 1), ("c3", "d", 1)], "checksum string, path string, batch_order long")
+    assert sorted((r.checksum, r.path) for r in incremental.first_documents(rows).collect()) == [("c1", "a"), ("c2", "c"), ("c3", "d")]
