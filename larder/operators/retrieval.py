@@ -79,11 +79,48 @@ def _packed(df: DataFrame, key: str, vector: str, block: int) -> DataFrame:
     return df.select(F.col(key).cast("bigint"), F.col(vector).cast("array<double>")).mapInArrow(run, "ids array<bigint>, vs array<array<double>>")
 
 
+def _planes(bits: int, dims: int, seed: str) -> list[list[float]]:
+    return [[int.from_bytes(hashlib.sha256(f"{seed}/{b}/{d}".encode()).digest()[:4], "big") / 2**31 - 1 for d in range(dims)] for b in range(bits)]
+
+
 def hyperplane_buckets(df: DataFrame, vector: str, bits: int, dims: int, seed: str = "planes") -> DataFrame:
     """A bucket number from the signs of `bits` fixed random projections: rows that share a bucket are likely similar. An opt-in approximation; the exact scan stays the default."""
-    planes = [[int.from_bytes(hashlib.sha256(f"{seed}/{b}/{d}".encode()).digest()[:4], "big") / 2**31 - 1 for d in range(dims)] for b in range(bits)]
     bit = lambda p: F.when(dot(F.col(vector), F.array(*map(F.lit, p))) >= 0, 1).otherwise(0)
     bucket = F.lit(0)
-    for p in planes:
+    for p in _planes(bits, dims, seed):
         bucket = bucket * 2 + bit(p)
     return df.withColumn("bucket", bucket)
+
+
+def probes(vector: Column, bits: int, dims: int, n: int, seed: str = "planes") -> Column:
+    """The `n` buckets in which neighbours of a vector are likeliest, its own first: a bucket costs the distances to the planes that part it from the vector."""
+    sides = F.array(*(dot(vector, F.array(*map(F.lit, p))) for p in _planes(bits, dims, seed)))
+
+    def cost(bucket):
+        each = F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda k: F.struct(F.get(sides, k).alias("m"), (F.floor(bucket / F.pow(F.lit(2.0), F.lit(bits - 1) - k)).cast("int") % 2).alias("bit")))
+        return F.aggregate(each, F.lit(0.0), lambda s, x: s + F.when((x["m"] >= 0).cast("int") != x["bit"], F.abs(x["m"])).otherwise(0.0))
+
+    ranked = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(2**bits - 1)), lambda b: F.struct(cost(b).alias("cost"), b.alias("bucket"))))
+    return F.transform(F.slice(ranked, 1, n), lambda x: x["bucket"])
+
+
+def probed_top_k(queries: DataFrame, df: DataFrame, query_id: str, query_vector: str, vector_id: str, vector: str, k: int, bits: int, dims: int, n_probes: int, seed: str = "planes") -> DataFrame:
+    """(q, id, similarity, place): the k most similar vectors among those in the `n_probes` likeliest buckets of each query, exactly compared.
+
+    A query meets the rows of its buckets by an equality join on the bucket, and tasks
+    keep k of each query before the shuffle. How many of the true neighbours are found
+    depends on the vectors; measure it with `recall`. With all 2^bits buckets it is exact.
+    """
+    if not 1 <= bits <= 12 or not 1 <= n_probes <= 2**bits:
+        raise ValueError("from 1 to 12 bits, and from one probe to all buckets")
+    asked = queries.select(F.col(query_id).alias("q"), F.col(query_vector).alias("_qv")).withColumn("bucket", F.explode(probes(F.col("_qv"), bits, dims, n_probes, seed)))
+    rows = hyperplane_buckets(df.select(F.col(vector_id).alias("id"), F.col(vector).alias("_v")), "_v", bits, dims, seed)
+    scored = asked.join(rows, "bucket").select("q", "id", cosine(F.col("_qv"), F.col("_v")).alias("similarity")).filter("similarity IS NOT NULL")
+    w = Window.partitionBy("q").orderBy(F.round("similarity", 12).desc(), "id")
+    return scored.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+
+
+def recall(found: DataFrame, exact: DataFrame) -> float:
+    """The share of the exact neighbours (q, id) that were found."""
+    hit = exact.join(found.select("q", "id", F.lit(1).alias("_hit")), ["q", "id"], "left")
+    return hit.agg(F.avg(F.coalesce("_hit", F.lit(0)))).first()[0]
