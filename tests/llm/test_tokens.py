@@ -1,4 +1,5 @@
 import hashlib
+import random
 import struct
 import zlib
 
@@ -55,7 +56,7 @@ def test_long_words_and_texts(word, byte):
     texts = [run("abcdefghij", 200_000), run("abcXYZ0123456789+/=", 200_000), " ".join(run("abcdefg", rng.randrange(2, 9)) for _ in range(330_000))]
     check_word(texts, word)
     for t in texts:
-        assert token_counts.counter(BYTE).state_map(t) == [(0, 0, len(byte.encode(t, add_special_tokens=False).ids))]
+        assert token_counts.counter(BYTE).state_map(t) == [("", "", len(byte.encode(t, add_special_tokens=False).ids))]
 
 
 def plain_cuts(text, chunk):
@@ -85,7 +86,54 @@ def test_counts_of_any_text_in_any_chunks(byte, text, chunk):
         left = token_counts.compose(left, m)
     for m in maps[-2::-1]:
         right = token_counts.compose(m, right)
-    assert left == right == [(token_counts.START, token_counts.START, n)]
+    assert left == right == [(token_counts.START_KEY, token_counts.START_KEY, n)]
+
+
+run_pieces = st.lists(st.sampled_from(["internationalization", "abc", "aaaaaa", "zq", "1234567", "'ll", "'s", "!?'", "漢字テスト", "ßéñ", " ", "\n\n", "<|endoftext|>", "endoftext", "x" * 40]), min_size=1, max_size=14).map("".join)
+
+
+@settings(max_examples=200, deadline=None)
+@given(run_pieces, st.integers(1, 12))
+def test_maps_of_cuts_within_words_compose(byte, text, chunk):
+    """Cuts within words: maps of several entries, composed from the left, from the right and in pairs, are the library's count."""
+    counter = token_counts.counter(BYTE)
+    pieces = list(counter.pieces(text, chunk))
+    assert "".join(p for p, _, _ in pieces) == text
+    maps = [counter.state_map(*p) for p in pieces]
+    right, level = maps[-1], maps
+    for m in maps[-2::-1]:
+        right = token_counts.compose(m, right)
+    while len(level) > 1:
+        level = [token_counts.scanned(level[k : k + 2]) for k in range(0, len(level), 2)]
+    n = len(byte.encode(text, add_special_tokens=False).ids)
+    left = token_counts.scanned(maps)
+    assert left == right == level[0] and left in ([("", "", n)], [])
+    assert left or any(len(p) < 96 for p, _, _ in pieces)
+
+
+def test_maps_within_a_word_have_several_entries(byte):
+    counter, word = token_counts.counter(BYTE), "internationalizationofpneumonoultramicroscopic" * 4
+    pieces = list(counter.pieces(word, 30))
+    maps = [counter.state_map(*p) for p in pieces]
+    assert len(maps) > 5 and all(on for _, _, on in pieces[:-1]) and all(len(m) > 1 for m in maps[1:]) and len(maps[0]) == 1
+    assert token_counts.scanned(maps) == [("", "", len(byte.encode(word, add_special_tokens=False).ids))]
+    assert token_counts.compose([("", "a", 1)], [("b", "", 2)]) == []  # a state that the second map lacks
+
+
+def test_long_runs_are_dealt_to_tasks(spark, byte):
+    rng = random.Random(9)
+    letters = lambda n: "".join(rng.choice("etaoinshrdlucmfwyp") for _ in range(n))
+    texts = [letters(3_000_000), letters(40_000) + " and " + "7" * 30_000 + "!" * 20_000 + "'s", "short", "", "a" * 20_000 + "<|endoftext|>" + letters(20_000), "漢" * 50_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_tokens) for r in token_counts.token_counts(df).collect()}
+    assert got == {k: (len(t.encode()), len(byte.encode(t, add_special_tokens=False).ids)) for k, t in enumerate(texts)}
+
+
+def test_a_state_that_no_map_has_is_counted_whole(spark, byte, monkeypatch):
+    """Without characters before the cut, maps know no state: the text is counted in one piece."""
+    monkeypatch.setattr(token_counts, "LEAD", 1)
+    counter, word = token_counts.counter(BYTE), "internationalizationofpneumonoultramicroscopic" * 4
+    assert any(token_counts.scanned([counter.state_map(*p) for p in counter.pieces(word, n)]) == [] for n in range(5, 40))
 
 
 def test_spark_cuts_where_states_meet(spark):
@@ -99,7 +147,7 @@ def test_counts_and_ids(byte):
     counter, coder = token_counts.counter(BYTE), packing.byte_encoder(BYTE)
     for text in TEXTS:
         ids = byte.encode(text, add_special_tokens=False).ids
-        assert counter.state_map(text) == [(0, 0, len(ids))]
+        assert counter.state_map(text) == [("", "", len(ids))]
         assert coder.encode(text).tolist() == ids
 
 
