@@ -130,3 +130,35 @@ WOUND_COLUMNS = {
 }
 #: Fixed values of food sources by the type that a service names.
 FOOD_SOURCES = {"branded": "usda_branded", "foundation": "usda_foundation", "survey (fndds)": "usda_fndds", "sr legacy": "usda_sr_legacy"}
+
+#: The fields of feeding and parenteral orders with the pattern, its group and the field's type; what words stand for in parenteral orders, the first that occurs.
+_LIPID = r"(?i)\b(?:lipid|IVFE|intralipid)"
+ENTERAL_FIELDS = {
+    "rate_ml_hr": (PATTERNS["rate"], 1, "double"),
+    "hours_per_day": (PATTERNS["hours"], 1, "double"),
+    "bolus_volume_ml": (PATTERNS["bolus"], 1, "double"),
+    "boluses_per_day": (PATTERNS["bolus"], 2, "int"),
+    "flush_ml": (PATTERNS["flush"], 1, "double"),
+    "flush_frequency_hours": (PATTERNS["flush"], 2, "double"),
+    "flush_instructions": (PATTERNS["flush"], 0, "string"),
+    "feeding_schedule": (PATTERNS["schedule"], 1, "string"),
+}
+PARENTERAL_FIELDS = {
+    "access_description": (r"(?i)\b(PICC|CVC|central venous catheter|central line|peripheral IV|peripheral line)\b", 1, "string"),
+    "total_volume_ml": (rf"(?i)\b(?:total\s+volume|TV)\s*(?:[:=]|of)?\s*({NUMBER})\s*mL\b", 1, "double"),
+    "rate_ml_hr": (rf"(?i)\b(?:TPN|PPN|parenteral\s+nutrition).*?(?:@|at)\s*({NUMBER})\s*mL\s*/?\s*(?:hr|hour)", 1, "double"),
+    "hours_per_day": (rf"(?i)\b(?:over|for|x)\s*({NUMBER})\s*(?:hr|hour)s?\b", 1, "double"),
+    "dextrose_g_per_l": (rf"(?i)\b(?:dextrose|dex)\s*({NUMBER})\s*g\s*/\s*l\b", 1, "double"),
+    "amino_acid_g_per_l": (rf"(?i)\b(?:amino\s+acids?|AA)\s*({NUMBER})\s*g\s*/\s*l\b", 1, "double"),
+    "documented_protein_g": (rf"(?i)\bprotein\s*({NUMBER})\s*g\b", 1, "double"),
+    "documented_calories_kcal": (rf"(?i)\b({NUMBER})\s*kcal\b", 1, "double"),
+    "lipid_concentration_percent": (rf"{_LIPID}\s*({NUMBER})\s*%", 1, "double"),
+    "lipid_total_volume_ml": (rf"{_LIPID}.*?\b({NUMBER})\s*mL\b", 1, "double"),
+    "lipid_rate_ml_hr": (rf"{_LIPID}.*?(?:@|at)\s*({NUMBER})\s*mL\s*/?\s*(?:hr|hour)", 1, "double"),
+    "lipid_run_time_hours": (rf"{_LIPID}.*?(?:over|for|x)\s*({NUMBER})\s*(?:hr|hour)s?\b", 1, "double"),
+}
+PARENTERAL_CHOICES = {
+    "access_route": [("ppn|peripheral parenteral nutrition", "peripheral"), ("tpn|total parenteral nutrition|central venous|central line|picc|cvc", "central")],
+    "formula_type": [("concentrated", "concentrated"), ("standard", "standard")],
+    "lipid_delivery": [("piggyback", "piggyback"), ("3-in-1|3 in 1|total nutrient admixture", "included")],
+}

@@ -89,3 +89,8 @@ def zip_vectors(df: DataFrame, chunk_list: str, vector_list: str, keys: list[str
     """Chunks with their vectors by position; lists of different lengths fail the job."""
     same = required(F.size(chunk_list) == F.size(vector_list), "chunks and vectors differ in number")
     return df.filter(same).select(*keys, F.posexplode(F.arrays_zip(F.col(chunk_list).alias("content"), F.col(vector_list).alias("embedding"))).alias("chunk_index", "_z")).select(*keys, "chunk_index", "_z.*")
+
+
+def chunk_totals(chunks: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n_chunks, n_tokens): how many windows each text gave, and their tokens with overlaps."""
+    return chunks.groupBy(*keys).agg(F.count("*").alias("n_chunks"), F.sum("n_tokens").alias("n_tokens"))

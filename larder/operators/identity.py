@@ -134,3 +134,19 @@ def resolve_batch(records: DataFrame, people: DataFrame, record: str = "record_i
     new = resolve_new(records.join(first.filter("status = 'new'").select(record), record, "left_semi"), record)
     kept = first.filter("status <> 'new'").select(record, "status", "person_id").withColumn("person_key", F.lit(None).cast("string"))
     return kept.unionByName(new.withColumn("person_id", F.lit(None).cast(first.schema["person_id"].dataType)).select(record, "status", "person_id", "person_key"))
+
+
+def with_ids(facts: DataFrame, people: DataFrame, facilities: DataFrame, record: str = "record_id") -> DataFrame:
+    """Facts with person_id and facility_id: those that a fact names itself, else what its record was resolved to (record, person_id) and what its facility's name stands for (name, facility_id)."""
+    found = people.select(record, F.col("person_id").alias("_person"))
+    places = facilities.groupBy(fold(F.col("name")).alias("_name")).agg(F.when(F.count_distinct("facility_id") == 1, F.min("facility_id")).alias("_facility"))
+    out = facts.withColumn("_name", fold(F.col("facility_name"))).join(found, record, "left").join(places, "_name", "left")
+    return out.withColumns({"person_id": F.coalesce("person_id", "_person"), "facility_id": F.coalesce("facility_id", "_facility")}).drop("_name", "_person", "_facility")
+
+
+def register_trusted(facilities: DataFrame, trusted: DataFrame) -> DataFrame:
+    """Facilities (facility_identifier, name) with those of a trusted source that are not known by name or identifier; resolving never adds any."""
+    own = trusted.withColumn("_name", fold(F.col("name"))).dropDuplicates(["_name"])
+    known = facilities.select(fold(F.col("name")).alias("_name")).distinct()
+    numbers = facilities.filter("facility_identifier IS NOT NULL").select("facility_identifier").distinct()
+    return facilities.unionByName(own.join(known, "_name", "left_anti").join(numbers, "facility_identifier", "left_anti").select(*facilities.columns))

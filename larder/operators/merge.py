@@ -181,3 +181,15 @@ def lifecycle(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
 def union_all(tables: list[DataFrame]) -> DataFrame:
     """Tables of different columns under each other."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+
+
+def sync_assessments(notes: DataFrame, assessments: DataFrame) -> DataFrame:
+    """Assessments to insert for nutrition notes (id, person_id, note_type, note_text, note_date, author) that have none yet: final ones with the note's text, dated and signed as the note. Blank notes make none."""
+    from larder.functions.text import content_hash
+    from larder.operators.notes import is_nutrition_note
+
+    own = notes.filter(is_nutrition_note(F.col("note_type")) & (F.trim("note_text") != ""))
+    new = own.join(assessments.select(F.col("source_progress_note_id").alias("id")).distinct(), "id", "left_anti")
+    return new.select(
+        "person_id", F.trim("note_text").alias("content"), content_hash(F.col("note_text")).alias("content_hash"), F.lit("finalized").alias("status"), F.col("note_date").alias("finalized_at"), F.col("author").alias("created_by"), F.col("id").alias("source_progress_note_id")
+    )

@@ -143,3 +143,10 @@ def capped_lists(df: DataFrame, keys: list[str], order: list[Column], columns: l
 def all_or_null(columns: list[str]) -> Column:
     """The sum of columns, null where one is null."""
     return reduce(lambda a, b: a + b, (F.col(c) for c in columns))
+
+
+def weight_series_status(df: DataFrame, keys: list[str], time: str, value: str) -> DataFrame:
+    """(keys, status, n_dated): whether a series of weights can be compared: ok, no_dated_weight, or not_positive where a dated weight is zero, less or unknown."""
+    dated = F.col(time).isNotNull()
+    counts = df.groupBy(*keys).agg(F.count_if(dated).alias("n_dated"), F.count_if(dated & ~F.coalesce(F.col(value) > 0, F.lit(False))).alias("_bad"))
+    return counts.select(*keys, F.when(F.col("n_dated") == 0, "no_dated_weight").when(F.col("_bad") > 0, "not_positive").otherwise("ok").alias("status"), "n_dated")

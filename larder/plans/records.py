@@ -223,9 +223,16 @@ def name_parse(spark, sf):
     return read(spark, sf, "part").select("p_partkey", text.first_name(name).alias("first_name"), text.last_name(name).alias("last_name"), text.first_name(swapped).alias("comma_first"))
 
 
-@query("q_alias_map", "SELECT c_custkey, CASE lower(c_mktsegment) WHEN 'building' THEN 'regular' WHEN 'machinery' THEN 'mechanical_soft' ELSE replace(lower(c_mktsegment), ' ', '_') END AS diet FROM customer")
+#: How diets are written: every alias of the table, in other cases and with other marks, and words that are none.
+_PHRASES = [p for k in text.DIET_ALIASES for p in (k, k.upper().replace(" ", "_"), f"  {k.title()} ")] + ["Soft / Bland", "new-diet"]
+_PHRASE_SQL = "[" + ", ".join(f"'{p}'" for p in _PHRASES) + f"][c_custkey % {len(_PHRASES)} + 1]"
+_ALIAS_SQL = "CASE p " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in text.DIET_ALIASES.items()) + " ELSE replace(p, ' ', '_') END"
+
+
+@query("q_alias_map", f"SELECT c_custkey, {_ALIAS_SQL} AS diet FROM (SELECT c_custkey, trim(regexp_replace(regexp_replace(lower({_PHRASE_SQL}), '[-_/]+', ' ', 'g'), '\\s+', ' ', 'g')) AS p FROM customer)")
 def alias_map(spark, sf):
-    return read(spark, sf, "customer").select("c_custkey", text.alias_or_slug(F.col("c_mktsegment"), {"building": "regular", "machinery": "mechanical_soft"}).alias("diet"))
+    phrase = F.get(F.array(*(F.lit(p) for p in _PHRASES)), (F.col("c_custkey") % len(_PHRASES)).cast("int"))
+    return read(spark, sf, "customer").select("c_custkey", text.alias_or_slug(phrase, text.DIET_ALIASES).alias("diet"))
 
 
 @query("q_hash_identity", r"SELECT doc_id, sha256(trim(regexp_replace(text, '\s+', ' ', 'g'), ' ')) AS content_hash, sha256(text) AS file_hash FROM documents")
@@ -290,3 +297,39 @@ def vector_batch_topk(spark, sf):
     vectors = read(spark, sf, "embeddings")
     out = retrieval.batch_top_k(vectors.filter("vec_id % 100 = 0"), vectors, "vec_id", "embedding", "vec_id", "embedding", 5)
     return out.select(F.col("q").alias("query_id"), F.col("id").alias("vec_id"), F.round("similarity", 6).alias("similarity"))
+
+
+@query(
+    "q_chunk_totals",
+    """WITH w AS (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS n FROM documents), s AS (SELECT doc_id, n, unnest(range(0, n, 575)) AS pos FROM w)
+       SELECT doc_id, count(*) AS n_chunks, sum(least(600, n - pos))::BIGINT AS n_tokens FROM s WHERE NOT (pos > 0 AND pos = n - 25) GROUP BY doc_id""",
+)
+def chunk_totals(spark, sf):
+    parts = chunking.chunks(read(spark, sf, "documents"), ["doc_id"], chunking.word_tokens(F.col("text")), 600, 25)
+    return chunking.chunk_totals(parts, ["doc_id"])
+
+
+@query(
+    "q_weight_series",
+    """SELECT user_id, CASE WHEN n = 0 THEN 'no_dated_weight' WHEN bad > 0 THEN 'not_positive' ELSE 'ok' END AS status, n AS n_dated FROM (SELECT user_id, count(*) FILTER (WHERE event_id % 3 > 0) AS n,
+       count(*) FILTER (WHERE event_id % 3 > 0 AND coalesce(CASE WHEN event_id % 7 > 0 THEN value - 5 END, 0) <= 0) AS bad FROM events WHERE event_id % 50 <> user_id % 50 GROUP BY 1)""",
+)
+def weight_series(spark, sf):
+    from larder.operators import temporal
+
+    key = F.col("event_id")
+    rows = read(spark, sf, "events").filter(key % 50 != F.col("user_id") % 50).select("user_id", F.when(key % 3 > 0, F.col("ts")).alias("at"), F.when(key % 7 > 0, F.col("value") - 5).alias("lb"))
+    return temporal.weight_series_status(rows, ["user_id"], "at", "lb")
+
+
+@query(
+    "q_sync_assessments",
+    """SELECT o_custkey AS person_id, 'Note ' || o_orderkey AS content, sha256('Note ' || o_orderkey) AS content_hash, 'finalized' AS status, o_orderdate AS finalized_at, o_orderkey AS source_progress_note_id FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderkey % 3 > 0 AND o_orderkey % 5 > 0""",
+)
+def sync_assessments(spark, sf):
+    key = F.col("o_orderkey")
+    kind = F.when(F.col("o_orderpriority") == "1-URGENT", "Dietitian  note").when(F.col("o_orderpriority") == "2-HIGH", "Nutrition/Dietary Note").otherwise("Nursing Note")
+    notes = read(spark, sf, "orders").select(key.alias("id"), F.col("o_custkey").alias("person_id"), kind.alias("note_type"), F.when(key % 5 > 0, F.concat(F.lit(" Note  "), key.cast("string"))).otherwise(" ").alias("note_text"), F.col("o_orderdate").alias("note_date"), F.lit("a").alias("author"))
+    stored = read(spark, sf, "orders").filter(key % 3 == 0).select(key.alias("source_progress_note_id"))
+    out = merge.sync_assessments(notes, stored)
+    return out.select("person_id", text.collapse(F.col("content")).alias("content"), "content_hash", "status", F.col("finalized_at").cast("timestamp_ntz").alias("finalized_at"), "source_progress_note_id")

@@ -105,3 +105,18 @@ def test_identities_of_one_batch(spark):
     both = {r.record_id: (r.status, r.person_id) for r in identity.resolve_batch(spark.createDataFrame(rows, RECORD), people).collect()}
     assert both[1] == both[2] == both[3] == both[4] == ("matched", 100) and both[11] == ("matched", 101) and both[5] == ("new", None)
     assert identity.resolve_new(spark.createDataFrame([], RECORD)).count() == 0
+
+
+def test_ids_that_facts_name_go_first(spark):
+    facts = spark.createDataFrame([(1, 7, 70, None), (2, None, None, "north  HOUSE"), (3, None, None, "Twin"), (4, None, None, None)], "record_id long, person_id long, facility_id long, facility_name string")
+    people = spark.createDataFrame([(1, 99), (2, 8)], "record_id long, person_id long")
+    places = spark.createDataFrame([("North House", 5), ("Twin", 1), ("twin", 2)], "name string, facility_id long")
+    got = {r.record_id: (r.person_id, r.facility_id) for r in identity.with_ids(facts, people, places).collect()}
+    assert got == {1: (7, 70), 2: (8, 5), 3: (None, None), 4: (None, None)}
+
+
+def test_only_trusted_sources_add_facilities(spark):
+    known = spark.createDataFrame([("F1", "North House"), (None, "South")], "facility_identifier string, name string")
+    trusted = spark.createDataFrame([("F9", "north  house"), ("F1", "Other"), ("F2", "East"), ("F3", " EAST "), (None, "West")], "facility_identifier string, name string")
+    names = sorted(r.name.strip().lower() for r in identity.register_trusted(known, trusted).collect())
+    assert names == ["east", "north house", "south", "west"]
