@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from larder import fixed_values as fixed
 from larder.operators import context, extraction, identity
 from larder.operators.relational import required
 from larder.plans.registry import query
@@ -175,7 +176,26 @@ def truncate_tokens(spark, sf):
     return read(spark, sf, "documents").filter(fits).select("doc_id", short.endswith("\n[truncated]").alias("cut"), F.md5(short).alias("body"))
 
 
-@query("q_content_segments")
+def _segments_sql() -> str:
+    """A document is one page, so the walk has a closed form: the text is closed by the last heading that closes it, until the first strict title after that; before any such heading the page's first line may be the title."""
+    quoted = lambda p: p.replace("'", "''")
+    says = lambda x, p: f"regexp_matches({x}, '{quoted(p)}')"
+    either = lambda x, ps: "(" + " OR ".join(says(x, p) for p in ps) + ")"
+    small = ", ".join(f"'{w}'" for w in fixed.SMALL_WORDS)
+    return f"""WITH l AS (SELECT doc_id AS doc, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_number FROM documents),
+n AS (SELECT *, trim(line, ' ') AS t, trim(regexp_replace(trim(line, ' '), ':+$', ''), ' ') AS x FROM l WHERE trim(line, ' ') <> ''),
+m AS (SELECT *, {either("x", (fixed.REFERENCE_HEADING, fixed.CONTENTS_HEADING, fixed.METADATA_HEADING))} AS closes, coalesce({says("trim(lead(line) OVER (PARTITION BY doc ORDER BY line_number), ' ')", fixed.SUBSECTION_HEADING)}, FALSE) AS heads,
+  count(*) FILTER ({says("t", fixed.CONTENTS_ENTRY)}) OVER (PARTITION BY doc) >= 2 AS listed,
+  length(x) <= 90 AND len(regexp_split_to_array(x, '\\s+')) BETWEEN 2 AND 12 AND NOT {says("x", r"[.;,]$")} AND NOT {says("x", fixed.SUBSECTION_HEADING)} AND NOT {says("x", fixed.CONTENTS_ENTRY)}
+    AND (len(list_filter(regexp_split_to_array(x, '\\s+'), lambda w: NOT (regexp_matches(w, '^\\p{{Lu}}') OR lower(w) IN ({small})))) = 0 OR (upper(x) = x AND lower(x) <> x)) AS titled FROM n),
+k AS (SELECT *, titled AND (heads OR {says("x", fixed.CLINICAL_TOPIC)}) AS strict, row_number() OVER (PARTITION BY doc ORDER BY line_number) AS i FROM m WHERE NOT {either("t", (fixed.PAGE_NUMBER, fixed.DOCUMENT_TITLE, *fixed.INLINE_METADATA))}),
+c AS (SELECT *, max(CASE WHEN closes THEN i WHEN listed THEN 0 END) OVER (PARTITION BY doc ORDER BY i) AS closed FROM k),
+r AS (SELECT *, min(CASE WHEN strict AND NOT closes THEN i END) OVER (PARTITION BY doc, closed) AS opens, first(CASE WHEN titled THEN t END) OVER (PARTITION BY doc ORDER BY i) AS own FROM c),
+o AS (SELECT *, CASE WHEN closed IS NULL THEN own ELSE max(CASE WHEN i = opens THEN t END) OVER (PARTITION BY doc, closed) END AS section_title FROM r WHERE NOT closes)
+SELECT doc, 1 AS page_number, line_number::INT AS line_number, section_title, t AS line FROM o WHERE closed IS NULL OR i >= opens"""
+
+
+@query("q_content_segments", _segments_sql())
 def content_segments(spark, sf):
     pages = read(spark, sf, "documents").select(F.col("doc_id").alias("doc"), F.lit(1).alias("page_number"), "text")
     lines = lines_of(pages, ["doc", "page_number"])
