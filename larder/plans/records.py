@@ -122,13 +122,18 @@ def lifecycle_patch(spark, sf):
     return merge.lifecycle(table, changes, "o_orderkey").select("o_orderkey", "status", F.col("finalized_at").cast("timestamp_ntz").alias("finalized_at"), "needs_embedding")
 
 
-PEOPLE = """people AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'f' ELSE 'm' END AS sex, 58 + c_custkey % 20 AS height, 20 + c_custkey * 37 % 70 AS age, w.lb AS lb, CASE c_custkey % 3 WHEN 0 THEN 'lose' WHEN 1 THEN 'maintain' ELSE 'gain' END AS goal, c_custkey % 4 = 0 AS dialysis
+def _even(x: str, places: int) -> str:
+    """Half to even by a number's decimals, as Spark's bround does it; DuckDB's own rounding of doubles multiplies first and so makes ties of 58.254999999999995."""
+    return f"round_even(({x})::VARCHAR::DECIMAL(38, 18), {places})::DOUBLE"
+
+
+PEOPLE = f"""people AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'f' ELSE 'm' END AS sex, 58 + c_custkey % 20 AS height, 20 + c_custkey * 37 % 70 AS age, w.lb AS lb, CASE c_custkey % 3 WHEN 0 THEN 'lose' WHEN 1 THEN 'maintain' ELSE 'gain' END AS goal, c_custkey % 4 = 0 AS dialysis
   FROM customer JOIN (SELECT o_custkey, 80 + arg_max(o_totalprice, o_orderkey) / 1500 AS lb FROM orders GROUP BY 1) w ON o_custkey = c_custkey),
-  b AS (SELECT *, round_even(round_even(lb / 2.2, 2) / (round_even(height * 0.0254, 2) * round_even(height * 0.0254, 2)), 2) AS bmi FROM people),
+  b AS (SELECT *, {_even(f"{_even('lb / 2.2', 2)} / ({_even('height * 0.0254', 2)} * {_even('height * 0.0254', 2)})", 2)} AS bmi FROM people),
   c AS (SELECT *, CASE WHEN age >= 65 THEN CASE WHEN bmi < 22 THEN 'UNDERWEIGHT' WHEN bmi < 28 THEN 'NORMAL' WHEN bmi < 30 THEN 'OVERWEIGHT' WHEN bmi < 40 THEN 'OBESE' ELSE 'MORBIDLY_OBESE' END
     ELSE CASE WHEN bmi < 18.5 THEN 'UNDERWEIGHT' WHEN bmi < 25 THEN 'NORMAL' WHEN bmi < 30 THEN 'OVERWEIGHT' WHEN bmi < 40 THEN 'OBESE' ELSE 'MORBIDLY_OBESE' END END AS category,
     CASE WHEN sex = 'f' THEN 100 + 5 * (height - 60) ELSE 106 + 6 * (height - 60) END::DOUBLE AS ibw FROM b),
-  n AS (SELECT *, ibw + 0.25 * (lb - ibw) AS aibw, round_even(CASE WHEN category IN ('UNDERWEIGHT', 'NORMAL') THEN lb WHEN category = 'OVERWEIGHT' THEN ibw ELSE ibw + 0.25 * (lb - ibw) END / 2.2, 2) AS kg FROM c)"""
+  n AS (SELECT *, ibw + 0.25 * (lb - ibw) AS aibw, {_even("CASE WHEN category IN ('UNDERWEIGHT', 'NORMAL') THEN lb WHEN category = 'OVERWEIGHT' THEN ibw ELSE ibw + 0.25 * (lb - ibw) END / 2.2", 2)} AS kg FROM c)"""
 
 
 def people(spark, sf):
@@ -157,8 +162,9 @@ def needs(spark, sf):
     return people(spark, sf).select("c_custkey", kcal["low"].alias("kcal_low"), kcal["high"].alias("kcal_high"), protein["low"].alias("protein_low"), protein["high"].alias("protein_high"))
 
 
-@query("q_mifflin", f"WITH {PEOPLE} SELECT c_custkey, round_even(1.2 * (10 * round_even(lb / 2.2, 2) + 6.25 * round_even(height * 2.54, 2) - 5 * age + CASE WHEN sex = 'm' THEN 5 ELSE -161 END), 0)::BIGINT AS kcal FROM people")
+@query("q_mifflin", f"WITH {PEOPLE} SELECT c_custkey, {_even(_even(f"1.2 * (10 * {_even('lb / 2.2', 2)} + 6.25 * {_even('height * 2.54', 2)} - 5 * age + CASE WHEN sex = 'm' THEN 5 ELSE -161 END)", 2), 0)}::BIGINT AS kcal FROM people")
 def mifflin(spark, sf):
+    """Two decimals first, as the operator gives them, then whole kilocalories."""
     return people(spark, sf).select("c_custkey", F.bround(nutrition.mifflin("lb", "height", "sex", "age")).cast("long").alias("kcal"))
 
 
