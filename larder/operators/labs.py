@@ -20,20 +20,34 @@ def result_of_line(line: Column) -> Column:
     The last status word ends the line, a flag may stand before it; the first word that
     reads as a value parts the name from unit and range.
     """
-    tokens = F.filter(F.split(line, r"\s+"), lambda t: t != "")
     place = lambda xs, test: F.transform(xs, lambda t, i: F.when(test(t), i))
-    ended = F.array_max(place(tokens, lambda t: t.isin(*fixed.LAB_STATUSES)))
-    flagged = F.coalesce(F.get(tokens, ended - 1).isin(*fixed.LAB_FLAGS), F.lit(False)) & (ended > 0)
-    data = F.slice(tokens, 1, F.greatest(F.when(flagged, ended - 1).otherwise(ended), F.lit(0)))
-    value = F.array_min(place(data, lambda t: t.rlike(fixed.LAB_VALUE)))
-    name, result = F.array_join(F.slice(data, 1, value), " "), F.get(data, value)
-    rest = F.slice(data, value + 2, F.size(data))
-    tail = lambda n: F.nullif(F.array_join(F.slice(rest, n + 1, F.size(rest)), " "), F.lit(""))
-    see = (F.get(rest, F.lit(0)) == "See") & (F.get(rest, F.lit(1)) == "note")
-    unit = F.when(F.coalesce(see, F.lit(False)), "See note").otherwise(F.get(rest, F.lit(0)))
-    span = F.when(F.coalesce(see, F.lit(False)), tail(2)).otherwise(tail(1))
-    found = (F.size(tokens) >= 3) & ended.isNotNull() & value.isNotNull() & _counts(name, result)
-    return F.when(found, F.struct(name.alias("name"), result.alias("result"), unit.alias("unit"), span.alias("reference_range")))
+
+    def of_tokens(tokens: Column) -> Column:
+        ended = F.array_max(place(tokens, lambda t: t.isin(*fixed.LAB_STATUSES)))
+        return F.when((F.size(tokens) >= 3) & ended.isNotNull(), _bound(ended, lambda at: of_data(tokens, at)))
+
+    def of_data(tokens: Column, ended: Column) -> Column:
+        flagged = F.coalesce(F.get(tokens, ended - 1).isin(*fixed.LAB_FLAGS), F.lit(False)) & (ended > 0)
+        data = F.slice(tokens, 1, F.greatest(F.when(flagged, ended - 1).otherwise(ended), F.lit(0)))
+        return _bound(data, lambda d: _bound(F.array_min(place(d, lambda t: t.rlike(fixed.LAB_VALUE))), lambda value: of_value(d, value)))
+
+    def of_value(data: Column, value: Column) -> Column:
+        name, result = F.array_join(F.slice(data, 1, value), " "), F.get(data, value)
+        whole = F.struct(name.alias("name"), result.alias("result"), F.slice(data, value + 2, F.size(data)).alias("rest"))
+        return F.when(value.isNotNull(), _bound(whole, lambda x: F.when(_counts(x["name"], x["result"]), of_rest(x["name"], x["result"], x["rest"]))))
+
+    def of_rest(name: Column, result: Column, rest: Column) -> Column:
+        tail = lambda n: F.nullif(F.array_join(F.slice(rest, n + 1, F.size(rest)), " "), F.lit(""))
+        see = F.coalesce((F.get(rest, F.lit(0)) == "See") & (F.get(rest, F.lit(1)) == "note"), F.lit(False))
+        unit, span = F.when(see, "See note").otherwise(F.get(rest, F.lit(0))), F.when(see, tail(2)).otherwise(tail(1))
+        return F.struct(name.alias("name"), result.alias("result"), unit.alias("unit"), span.alias("reference_range"))
+
+    return _bound(F.filter(F.split(line, r"\s+"), lambda t: t != ""), of_tokens)
+
+
+def _bound(value: Column, use) -> Column:
+    """`use` of a value that is worked out once, however often it is used: a name inside one expression, which Spark does not give otherwise."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def results_of_words(words: DataFrame, keys: list[str]) -> DataFrame:

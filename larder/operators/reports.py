@@ -35,8 +35,9 @@ def _notes(pages: DataFrame) -> DataFrame:
 
 
 def _labs(pages: DataFrame) -> DataFrame:
-    rows = lines_of(pages, ["doc", "page"]).withColumn("r", labs.result_of_line(F.col("line"))).filter("r IS NOT NULL")
-    return _facts(rows.select("doc", "page", "line_number", "r.*"), F.lit("lab"), "page", F.col("line_number"), F.lit(None), ["name", "result", "unit", "reference_range"])
+    found = F.filter(F.array(labs.result_of_line(F.col("line"))), lambda r: r.isNotNull())
+    rows = lines_of(pages, ["doc", "page"]).select("doc", "page", "line_number", F.inline(found))
+    return _facts(rows, F.lit("lab"), "page", F.col("line_number"), F.lit(None), ["name", "result", "unit", "reference_range"])
 
 
 def _orders(pages: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from larder.operators import labs
 
 
 def plan(df):
@@ -25,3 +26,9 @@ def test_mifflin_ties_are_rounded_by_the_decimals_in_spark_and_sql(spark, tmp_pa
     assert len(got) == 20000 and dict(db.execute(registry.oracle_sql()["q_mifflin"]).fetchall()) == got
 
 
+def test_lab_line_is_one_expression_of_its_tokens(one):
+    column = labs.result_of_line(F.lit(" Serum iron  7 See note < 9 H Final"))
+    assert str(column).count("split(") == 1
+    assert one(x=column).asDict() == {"name": "Serum iron", "result": "7", "unit": "See note", "reference_range": "< 9"}
+
+
