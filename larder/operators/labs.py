@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder import fixed_values as fixed
-from larder.operators.extraction import in_order, lined_words
+from larder.operators.extraction import lined_words
 
 
 def _counts(name: Column, result: Column) -> Column:
@@ -56,22 +58,23 @@ def results_of_words(words: DataFrame, keys: list[str]) -> DataFrame:
     The first line of a page whose labels include all of the header's sets the columns,
     parted half way between their labels; a word belongs to the column that holds its middle.
     """
-    lined = lined_words(words, keys)
-    label = F.rtrim(F.lower("text"), F.lit(".:"))
-    labels = lined.withColumn("label", label).filter(F.col("label").isin(*fixed.LAB_HEADER)).groupBy(*keys, "line_number", "label").agg(F.max_by(F.struct("x0", "x1"), "x0").alias("at"))
-    of = lambda name: F.max(F.when(F.col("label") == name, F.col("at")))
-    heads = labels.groupBy(*keys, "line_number").agg(F.count("*").alias("n"), *(of(name).alias(name) for name in fixed.LAB_HEADER)).filter(F.col("n") == len(fixed.LAB_HEADER))
-    first = heads.groupBy(*keys).agg(F.min_by(F.struct("line_number", *fixed.LAB_HEADER), "line_number").alias("h"))
-    middle = lambda c: (F.col(f"h.{c}.x0") + F.col(f"h.{c}.x1")) / 2
+    lines = lined_words(words, keys).groupBy(*keys, "line_number").agg(F.array_sort(F.collect_list(F.struct("x0", "text", "x1"))).alias("_words"))
+    at = lambda labels, c: F.array_max(F.zip_with("_words", labels, lambda w, label: F.when(label == c, F.struct(w["x0"].alias("x0"), w["x1"].alias("x1")))))
+    every = lambda labels: reduce(lambda a, b: a & b, (F.array_contains(labels, c) for c in fixed.LAB_HEADER))
+    labels = F.transform("_words", lambda w: F.rtrim(F.lower(w["text"]), F.lit(".:")))
+    head = _bound(labels, lambda x: F.when(every(x), F.struct(*(at(x, c).alias(c) for c in fixed.LAB_HEADER))))
+    lines = lines.withColumn("_at", head).withColumn("_head", F.when(F.col("_at").isNotNull(), F.col("line_number")))
+    page = Window.partitionBy(*keys)
+    lines = lines.withColumn("_h", F.min_by("_at", "_head").over(page)).withColumn("_from", F.min("_head").over(page)).filter(F.col("line_number") > F.col("_from"))
+    middle = lambda c: (F.col(f"_h.{c}.x0") + F.col(f"_h.{c}.x1")) / 2
     cuts = [(middle(a) + middle(b)) / 2 for a, b in zip(fixed.LAB_HEADER, fixed.LAB_HEADER[1:])]
-    bounds = first.select(*keys, F.col("h.line_number").alias("head"), F.array(F.col("h.result.x0") - fixed.LAB_NAME_GAP, *cuts).alias("cuts"))
-    at = (F.col("x0") + F.col("x1")) / 2
-    column = F.element_at(F.array(*(F.lit(c) for c in ("name", "result", "unit", "reference_range", "flag", "status"))), F.size(F.filter("cuts", lambda c: c <= at)) + 1)
-    cells = in_order(lined.join(bounds, keys).filter(F.col("line_number") > F.col("head")).withColumn("column", column), [*keys, "line_number", "column"], "cell")
-    cell = lambda name: F.coalesce(F.max(F.when(F.col("column") == name, F.col("cell"))), F.lit(""))
-    rows = cells.groupBy(*keys, "line_number").agg(*(cell(c).alias(c) for c in ("name", "result", "unit", "reference_range", "flag", "status")))
-    rows = rows.filter(F.col("status").isin(*fixed.LAB_STATUSES) & _counts(F.col("name"), F.col("result")))
-    return rows.select(*keys, "line_number", "name", "result", *(F.nullif(F.col(c), F.lit("")).alias(c) for c in ("unit", "reference_range", "flag")))
+    lines = lines.withColumn("_cuts", F.array(F.col("_h.result.x0") - fixed.LAB_NAME_GAP, *cuts))
+    columns = ("name", "result", "unit", "reference_range", "flag", "status")
+    placed = F.transform("_words", lambda w: F.struct(w["text"].alias("text"), F.size(F.filter("_cuts", lambda c: c <= (w["x0"] + w["x1"]) / 2)).alias("column")))
+    cell = lambda words, k: F.array_join(F.transform(F.filter(words, lambda w: w["column"] == k), lambda w: w["text"]), " ")
+    cells = _bound(placed, lambda words: F.struct(*(cell(words, k).alias(c) for k, c in enumerate(columns))))
+    rows = F.filter(F.array(cells), lambda x: x["status"].isin(*fixed.LAB_STATUSES) & _counts(x["name"], x["result"]))
+    return lines.select(*keys, "line_number", F.inline(rows)).select(*keys, "line_number", "name", "result", *(F.nullif(F.col(c), F.lit("")).alias(c) for c in columns[2:5]))
 
 
 def once(results: DataFrame, person: str, observed: str, order: list[str]) -> DataFrame:

@@ -4,13 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from larder.operators import labs
+from larder.operators import extraction, labs
 
 
 def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_lines_of_words_without_python_groups(spark):
+    tops = [(1, 0.0), (1, 1.5), (1, 3.0), (1, 4.5), (1, 5.5), (1, 20.0), (1, None), (1, float("nan")), (2, None), (2, None), (3, 7.0)]
+    df = spark.createDataFrame([(d, float(k), y, f"w{k}") for k, (d, y) in enumerate(tops)], "d int, x0 double, y0 double, text string")
+    got = extraction.lined_words(df, ["d"])
+    assert "FlatMapGroupsInPandas" not in plan(got)
+    by = {r["text"]: r["line_number"] for r in got.collect()}
+    # 0 and 1.5 are a line, 3 and 4.5 the next, 5.5 is 2.5 below 3
+    assert [by[f"w{k}"] for k in range(11)] == [0, 0, 1, 1, 2, 3, 3, 3, 0, 0, 0]
+
+
+def test_lab_page_takes_the_first_full_header(spark):
+    page = [(10.0, ("Result", 100), ("Unit", 150), ("Ref", 200), ("Flag", 250)), (20.0, ("Test", 10), ("Result", 100), ("Unit", 150), ("Ref.", 200), ("Flag:", 250), ("Status", 300)), (30.0, ("Sodium", 10), ("140", 100), ("H", 250), ("Final", 300)), (40.0, ("Iron", 10), ("7", 100), ("Pending", 300))]
+    df = spark.createDataFrame([(1, float(x), float(x + 30), y, t) for y, *words in page for t, x in words], "d int, x0 double, x1 double, y0 double, text string")
+    got = labs.results_of_words(df, ["d"])
+    assert "FlatMapGroupsInPandas" not in plan(got) and "Join" not in plan(got)
+    assert [tuple(r) for r in got.collect()] == [(1, 2, "Sodium", "140", None, None, "H")]
+
+
 def test_mifflin_ties_are_rounded_by_the_decimals_in_spark_and_sql(spark, tmp_path):
     import duckdb
 
