@@ -13,11 +13,6 @@ def normalised(df: DataFrame) -> DataFrame:
     return df.withColumns({"first_key": fold(F.col("first_name")), "last_key": fold(F.col("last_name")), "sex": sex_code(F.col("sex")), "identifier": F.nullif(F.trim("identifier"), F.lit(""))})
 
 
-def _only(matches: DataFrame, record: str, name: str) -> DataFrame:
-    """The one person that a record matches in one way; how many where there are more."""
-    return matches.groupBy(record).agg(F.when(F.count_distinct("person_id") == 1, F.min("person_id")).alias(name), F.count_distinct("person_id").alias(f"{name}_n"))
-
-
 def resolve(records: DataFrame, people: DataFrame, record: str = "record_id") -> DataFrame:
     """Match records to people: by identifier and facility, else by name and birth date, else by name alone where the birth date is unknown on a side.
 
@@ -28,17 +23,27 @@ def resolve(records: DataFrame, people: DataFrame, record: str = "record_id") ->
     """
     r, p = normalised(records), normalised(people)
     p = p.select("person_id", *(F.col(c).alias(f"p_{c}") for c in ("identifier", "facility_id", "first_key", "last_key", "date_of_birth")))
+    ends = lambda way, of=None: [f(F.col("person_id") if of is None else F.when(of, F.col("person_id"))).alias(f"{way}_{e}") for e, f in (("lo", F.min), ("hi", F.max))]
+    # the least and the greatest person of each key meet the records, not all that share it: two differ where there are several
+    undated = F.col("p_date_of_birth").isNull()
+    at = p.filter("p_identifier IS NOT NULL").groupBy("p_identifier", "p_facility_id").agg(*ends("by_id"))
+    named = p.filter("p_first_key IS NOT NULL AND p_last_key IS NOT NULL").groupBy("p_first_key", "p_last_key")
+    dated = p.filter(~undated).groupBy("p_first_key", "p_last_key", "p_date_of_birth").agg(*ends("by_birth"))
+    named = named.agg(*ends("any"), *ends("none", undated))
+    keyed = r.select(record, "identifier", "facility_id", "first_key", "last_key", "date_of_birth")
     name = (F.col("first_key") == F.col("p_first_key")) & (F.col("last_key") == F.col("p_last_key"))
-    by_id = _only(r.join(p, (F.col("identifier") == F.col("p_identifier")) & F.col("facility_id").eqNullSafe(F.col("p_facility_id"))), record, "by_id")
-    by_birth = _only(r.join(p, name & (F.col("date_of_birth") == F.col("p_date_of_birth"))), record, "by_birth")
-    by_name = _only(r.join(p, name & (F.col("date_of_birth").isNull() | F.col("p_date_of_birth").isNull())), record, "by_name")
-    out = r
-    for part in (by_id, by_birth, by_name):
-        out = out.join(part, record, "left")
+    met = keyed.join(at, (F.col("identifier") == F.col("p_identifier")) & F.col("facility_id").eqNullSafe(F.col("p_facility_id")), "left").select(*keyed.columns, "by_id_lo", "by_id_hi")
+    met = met.join(dated, name & (F.col("date_of_birth") == F.col("p_date_of_birth")), "left").select(*met.columns, "by_birth_lo", "by_birth_hi")
+    met = met.join(named, name, "left")
+    own = {f"by_name_{e}": F.when(F.col("date_of_birth").isNull(), F.col(f"any_{e}")).otherwise(F.col(f"none_{e}")) for e in ("lo", "hi")}
+    met = met.withColumns(own).groupBy(record).agg(*(f(f"{way}_{e}").alias(f"{way}_{e}") for way in ("by_id", "by_birth", "by_name") for e, f in (("lo", F.min), ("hi", F.max))))
+    one = lambda way: F.when(F.col(f"{way}_lo") == F.col(f"{way}_hi"), F.col(f"{way}_lo")).alias(way)
+    many_of = lambda way: F.coalesce(F.col(f"{way}_lo") != F.col(f"{way}_hi"), F.lit(False)).alias(f"{way}_many")
+    out = r.join(met.select(record, *(f(way) for way in ("by_id", "by_birth", "by_name") for f in (one, many_of))), record, "left")
     births = p.select(F.col("person_id").alias("by_id"), F.col("p_date_of_birth").alias("_born"))
     out = out.join(births, "by_id", "left")
     found = F.coalesce("by_id", "by_birth", "by_name")
-    many = (F.coalesce("by_id_n", F.lit(0)) > 1) | (F.col("by_id").isNull() & (F.coalesce("by_birth_n", F.lit(0)) > 1)) | (F.col("by_id").isNull() & F.col("by_birth").isNull() & (F.coalesce("by_name_n", F.lit(0)) > 1))
+    many = F.coalesce("by_id_many", F.lit(False)) | (F.col("by_id").isNull() & F.coalesce("by_birth_many", F.lit(False))) | (F.col("by_id").isNull() & F.col("by_birth").isNull() & F.coalesce("by_name_many", F.lit(False)))
     other = F.col("by_id").isNotNull() & F.col("date_of_birth").isNotNull() & F.col("_born").isNotNull() & (F.col("date_of_birth") != F.col("_born"))
     status = F.when(other, "conflict").when(many, "ambiguous").when(found.isNull(), "new").otherwise("matched")
     key = F.when(F.col("identifier").isNotNull(), identity_hash(F.col("identifier"), F.col("facility_id").cast("string"))).otherwise(identity_hash(F.col("first_key"), F.col("last_key"), F.col("date_of_birth").cast("string")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from larder.operators import extraction, labs
+from larder.operators import extraction, identity, labs
 
 
 def plan(df):
@@ -50,3 +50,13 @@ def test_lab_line_is_one_expression_of_its_tokens(one):
     assert one(x=column).asDict() == {"name": "Serum iron", "result": "7", "unit": "See note", "reference_range": "< 9"}
 
 
+def test_common_names_do_not_pair_all_people_with_all_records(spark):
+    who = "id long, first_name string, last_name string, date_of_birth date, identifier string, facility_id long, sex string"
+    blank = spark.range(2000).select("id", F.lit("Ann").alias("first_name"), F.lit("Day").alias("last_name"), F.lit(None).cast("date").alias("date_of_birth"), F.lit(None).cast("string").alias("identifier"), F.lit(1).cast("long").alias("facility_id"), F.lit("F").alias("sex"))
+    rows = spark.createDataFrame([(9001, "Bo", "Ray", None, " Z1 ", None, "M"), (9002, "Cy", "Low", None, None, 1, "M")], who)
+    people = blank.unionByName(rows)
+    records = people.withColumnRenamed("id", "record_id")
+    got = identity.resolve(records, people.withColumnRenamed("id", "person_id"))
+    assert "count(distinct" not in plan(got).lower()
+    found = {(r["status"], r["person_id"]): r["n"] for r in got.groupBy("status", "person_id").agg(F.count("*").alias("n")).collect()}
+    assert found == {("ambiguous", None): 2000, ("matched", 9001): 1, ("matched", 9002): 1}
