@@ -11,6 +11,7 @@ from larder.functions.text import collapse, fold
 from larder.operators.extraction import found, order_facts, order_status
 from larder.operators.relational import required
 from larder.operators.temporal import first_wins
+from larder.sources.staging import written
 
 DAY_FORMATS = ("M/d/yyyy", "MMM d, yyyy", "MMMM d, yyyy")
 
@@ -87,7 +88,8 @@ def person_orders(pages: DataFrame, keys: list[str], text: str = "text") -> Data
         F.min_by(part(1), "_at").alias("person_name"), F.min_by(part(2), "_at").alias("identifier"), F.array_sort(F.collect_list(F.struct("_at", own.alias("line")))).alias("_lines")
     )
     parts = order_parts(F.array_join(F.col("_lines.line"), " "))
-    return whole.select(*keys, "record", "person_name", "identifier", parts.alias("parts")).filter("parts IS NOT NULL")
+    # a list of one or none, exploded: an order's text is read once, not again for the test
+    return whole.select(*keys, "record", "person_name", "identifier", F.explode(F.filter(F.array(parts), lambda x: x.isNotNull())).alias("parts"))
 
 
 def anonymous_orders(pages: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -114,6 +116,8 @@ def report_orders(pages: DataFrame, doc: str = "doc", page: str = "page", text:
     dated = required((F.col("report_mode") != "active_snapshot") | F.col("report_at").isNotNull(), "an active order snapshot needs a report date")
     found_orders = person_orders(pages, [doc, page], text)
     if relaxed:
+        # read once: which pages have persons is asked of the same rows
+        found_orders = written(found_orders, "orders")
         bare = pages.join(found_orders.select(doc, page).distinct(), [doc, page], "left_anti")
         found_orders = found_orders.unionByName(anonymous_orders(bare, [doc, page], text))
     rows = order_facts(found_orders.select(doc, page, "record", "person_name", "identifier", "parts.*")).withColumn("status", order_status(F.col("status")))
