@@ -5,11 +5,16 @@ from __future__ import annotations
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larder.operators.relational import required
 
+#: Characters of windows that a Python worker holds before it hands them on.
+BODY_CHARS = 1 << 20
+
 
 def word_tokens(text: Column) -> Column:
     """The default tokens: words between white space. Any column of token arrays may stand in."""
@@ -63,26 +68,54 @@ def vocabulary_windows(text: Column, ranks: str, pattern: str, size: int = 600,
     @F.pandas_udf("array<struct<n_tokens:int,content:string>>")
     def windows(texts: pd.Series) -> pd.Series:
         library = _vocabulary(ranks, pattern)
+        return texts.map(lambda t: [{"n_tokens": n, "content": body} for n, body in _windows(library, t, size, overlap)])
 
-        def of(t):
-            ids = library.encode_ordinary(t) if t else []
-            out = []
-            for at in range(0, len(ids), size - overlap):
-                if at and at == len(ids) - overlap:
-                    break  # the window before ended with the last token
-                part = ids[at : at + size]
-                out.append({"n_tokens": len(part), "content": library.decode_bytes(part).decode("utf-8", errors="replace")})
-            return out
+    return windows(text)
 
-        return texts.map(of)
 
-    return windows(text)
+def _windows(library, text: str | None, size: int, overlap: int):
+    ids = library.encode_ordinary(text) if text else []
+    for at in range(0, len(ids), size - overlap):
+        if at and at == len(ids) - overlap:
+            break  # the window before ended with the last token
+        part = ids[at : at + size]
+        yield len(part), library.decode_bytes(part).decode("utf-8", errors="replace")
 
 
 def vocabulary_chunks(df: DataFrame, keys: list[str], text: str, ranks: str, pattern: str, size: int = 600, overlap: int = 100, title: Column | None = None) -> DataFrame:
     """`chunks` over the tokens of a vocabulary instead of words."""
-    rows = df.select(*keys, (F.lit(None).cast("string") if title is None else title).alias("_title"), F.posexplode(vocabulary_windows(F.col(text), ranks, pattern, size, overlap)).alias("chunk_index", "_w"))
-    return rows.select(*keys, "chunk_index", "_w.n_tokens", titled(F.col("_title"), F.col("_w.content")).alias("content"))
+    if size <= 0 or not 0 <= overlap < size:
+        raise ValueError("a window has tokens, and its overlap is smaller than it")
+    named = {f"_k{n}": F.col(k) for n, k in enumerate(keys)}
+    own = df.select(*(c.alias(n) for n, c in named.items()), F.col(text).alias("_text"), (F.lit(None).cast("string") if title is None else title).alias("_title"))
+    kept = [*named, "_title"]
+    schema = T.StructType([*(own.schema[c] for c in kept), *T.StructType.fromDDL("chunk_index int, n_tokens int, body string")])
+
+    def run(batches):
+        library = _vocabulary(ranks, pattern)
+        for batch in batches:
+            rows, numbers, counts, bodies, weight = [], [], [], [], 0
+
+            def put():
+                found = batch.take(pa.array(rows, pa.int64()))
+                arrays = [found.column(found.schema.get_field_index(c)) for c in kept]
+                return pa.RecordBatch.from_arrays([*arrays, pa.array(numbers, pa.int32()), pa.array(counts, pa.int32()), pa.array(bodies, pa.string())], names=[*kept, "chunk_index", "n_tokens", "body"])
+
+            texts = batch.column(batch.schema.get_field_index("_text"))
+            narrow, batch = batch, batch.drop_columns(["_text"])
+            del narrow
+            for at in range(len(texts)):
+                for k, (n, body) in enumerate(_windows(library, texts[at].as_py(), size, overlap)):
+                    rows.append(at), numbers.append(k), counts.append(n), bodies.append(body)
+                    weight += len(body)
+                    if weight > BODY_CHARS:
+                        yield put()
+                        rows, numbers, counts, bodies, weight = [], [], [], [], 0
+            if rows:
+                yield put()
+
+    rows = own.mapInArrow(run, schema)
+    return rows.select(*(F.col(n).alias(k) for n, k in zip(named, keys)), "chunk_index", "n_tokens", titled(F.col("_title"), F.col("body")).alias("content"))
 
 
 def zip_vectors(df: DataFrame, chunk_list: str, vector_list: str, keys: list[str]) -> DataFrame:
