@@ -107,14 +107,18 @@ def union_texts(df: DataFrame, keys: list[str], order: str, text: list[str], fil
 
     A text that comes again, in any case, changes nothing, so each is taken once before a
     key's texts meet: what meets is what the united text is made of, however many rows there are.
+    Texts and other columns go through the same two groupings, so rows are read once and nothing is joined.
     """
-    out = df.groupBy(*keys).agg(F.min(order).alias("_order"), *(F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in fill)).drop("_order")
-    for c in text:
-        once = df.filter(F.trim(c) != "").groupBy(*keys, F.lower(F.trim(c)).alias("_same")).agg(F.min(order).alias("_at"), F.min_by(c, order).alias("_text"))
-        lists = once.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_at", "_text"))).alias("_texts"))
-        united = F.aggregate("_texts", F.lit(None).cast("string"), lambda a, x: text_union(a, x["_text"]))
-        out = out.join(lists.select(*(F.col(k).alias(f"_{k}") for k in keys), united.alias(c)), reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys)), "left").drop(*(f"_{k}" for k in keys))
-    return out
+    # an entry for each text that is not blank, and one at least for the row's other columns
+    texts = [F.col(c).cast("string") for c in text] or [F.lit(None).cast("string")]
+    entries = F.array(*(F.struct(F.lit(k).alias("k"), F.when(F.trim(c) != "", F.lower(F.trim(c))).alias("same"), c.alias("text")) for k, c in enumerate(texts)))
+    each = df.withColumn("_e", F.explode(F.filter(entries, lambda e: (e["k"] == 0) | e["same"].isNotNull())))
+    known = [F.min_by(F.struct(F.col(order).alias("at"), F.col(c).alias("value")), F.when((F.col("_e.k") == 0) & F.col(c).isNotNull(), F.col(order))).alias(f"_f{j}") for j, c in enumerate(fill)]
+    once = each.groupBy(*keys, F.col("_e.k").alias("_k"), F.col("_e.same").alias("_same")).agg(F.min(order).alias("_at"), F.min_by("_e.text", order).alias("_text"), *known)
+    first = [F.min_by(f"_f{j}.value", f"_f{j}.at").alias(c) for j, c in enumerate(fill)]
+    lists = [F.collect_list(F.when((F.col("_k") == k) & F.col("_same").isNotNull(), F.struct("_at", "_text"))).alias(f"_t{k}") for k in range(len(text))]
+    united = [F.aggregate(F.array_sort(f"_t{k}"), F.lit(None).cast("string"), lambda a, x: text_union(a, x["_text"])).alias(c) for k, c in enumerate(text)]
+    return once.groupBy(*keys).agg(*first, *lists).select(*keys, *fill, *united)
 
 
 def reconcile_snapshot(table: DataFrame, snapshot: DataFrame, person: str, scope: list[str], identity: list[str], payload: list[str]) -> DataFrame:

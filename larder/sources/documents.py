@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -58,40 +59,65 @@ def report_kind(first_page: Column) -> Column:
     return dispatch([(name, F.coalesce(has_marker(first_page, m), F.lit(False))) for name, m in REPORT_MARKERS.items()], "unknown")
 
 
-#: A cell with what ends it: quoted, with doubled quotes and line breaks inside, or plain up to the next comma or line break. A quote that is never closed takes all the rest but a last line break.
-_CELL = r'(?:"[^"]*+(?:""[^"]*+)*+(?:"[^,\n]*+|\z)|[^,\n]*+)(?:,|\n|\z)'
+#: A cell: quoted, with doubled quotes and line breaks inside, or plain up to the next comma or line break. A quote that is never closed takes all the rest but a last line break. Every part is possessive, so that no cell is tried twice and none is too long.
+_VALUE = r'(?:"[^"]*+(?:""[^"]*+)*+(?:"[^,\n]*+|\z)|(?!")[^,\n]*+)'
+#: A cell with what ends it, and a record: cells up to a line break outside quotes.
+_CELL = rf"{_VALUE}(?:,|\n|\z)"
+_RECORD = rf"(?:{_VALUE},)*+{_VALUE}(?:\n|\z)"
 
 
-def csv_records(texts: DataFrame, doc: str, text: str) -> DataFrame:
-    """(doc, record, cells): the records of CSV texts, also where quoted cells hold line breaks, commas or doubled quotes; blank lines are none.
+def _cell(token: Column) -> Column:
+    """The value of a cell that comes with what ends it."""
+    raw = F.when(token.endswith(",") | token.endswith("\n"), F.substring(token, F.lit(1), F.char_length(token) - 1)).otherwise(token)
+    quoted = F.concat(F.replace(F.regexp_extract(raw, r'\A"([^"]*+(?:""[^"]*+)*+)"?', 1), F.lit('""'), F.lit('"')), F.regexp_extract(raw, r'\A"[^"]*+(?:""[^"]*+)*+"([\s\S]*)\z', 1))
+    return F.when(raw.startswith('"'), quoted).otherwise(raw)
+
+
+def csv_parsed(text: Column) -> Column:
+    """The records of a CSV text as an array of (record, cells), in order; blank lines are none, but count.
 
-    Cells are cut by one pattern over the whole text, and the cells that end a line,
-    counted up to each, number the records; nothing is parsed line by line.
+    One pattern cuts the text into records and one a record into cells, all within the
+    text's own row: nothing is parsed line by line, and no cell is shuffled.
     """
-    unix = F.regexp_replace(text, "\r\n?", "\n")
-    ended = F.when(unix.endswith("\n"), unix).otherwise(F.concat(unix, F.lit("\n")))
-    tokens = F.filter(F.regexp_extract_all(ended, F.lit(_CELL), 0), lambda t: t != "")
-    each = texts.select(doc, F.posexplode(tokens).alias("_at", "_raw"))
-    raw = F.regexp_replace("_raw", r"[,\n]\z", "")
-    quoted = F.concat(F.replace(F.regexp_extract(raw, r'\A"([^"]*+(?:""[^"]*+)*+)"?', 1), F.lit('""'), F.lit('"')), F.regexp_extract(raw, r'\A"[^"]*+(?:""[^"]*+)*+"([\s\S]*)\z', 1))
-    cell = F.when(raw.startswith('"'), quoted).otherwise(raw)
-    before = Window.partitionBy(doc).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = each.withColumn("record", F.coalesce(F.count_if(F.col("_raw").endswith("\n")).over(before), F.lit(0)).cast("int")).withColumn("_cell", cell)
-    cells = F.transform(F.array_sort(F.collect_list(F.struct("_at", "_cell"))), lambda c: c["_cell"])
-    return numbered.groupBy(doc, "record").agg(cells.alias("cells")).filter((F.size("cells") > 1) | (F.get("cells", F.lit(0)) != ""))
+    unix = F.concat(F.regexp_replace(text, "\r\n?", "\n"), F.when(text.endswith("\n") | text.endswith("\r"), "").otherwise("\n"))
+    tokens = lambda x, pattern: F.filter(F.regexp_extract_all(x, F.lit(pattern), F.lit(0)), lambda t: t != "")
+    records = F.transform(tokens(unix, _RECORD), lambda r, i: F.struct(i.alias("record"), F.transform(tokens(r, _CELL), _cell).alias("cells")))
+    return F.filter(records, lambda r: (F.size(r["cells"]) > 1) | (F.get(r["cells"], F.lit(0)) != ""))
+
+
+def csv_records(texts: DataFrame, doc: str, text: str) -> DataFrame:
+    """(doc, record, cells): the records of CSV texts, also where quoted cells hold line breaks, commas or doubled quotes; blank lines are none."""
+    return texts.select(doc, F.inline(csv_parsed(F.col(text))))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def after_header(texts: DataFrame, doc: str, text: str, header: str, headings: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
+    """(doc, columns to keep, record, cells): the records of CSV texts after the first whose first cell is `header`; with `headings` the cells under these in that record, null where there are none; of equal headings the last counts."""
+
+    def place(heads: Column, heading: Column) -> Column:
+        return F.nullif(F.size(heads) - F.array_position(F.reverse(heads), heading).cast("int"), F.size(heads))
 
+    def below(rows: Column, first: Column) -> Column:
+        body = F.slice(rows, F.when(first > 0, first).otherwise(F.size(rows)) + 1, F.size(rows))
+        if headings is None:
+            return body
+        heads = F.transform(F.get(rows, first - 1)["cells"], lambda c: F.trim(c))
+        places = _let(heads, lambda h: F.transform(F.array(*map(F.lit, headings)), lambda x: place(h, x)))
+        return _let(places, lambda at: F.transform(body, lambda r: F.struct(r["record"].alias("record"), F.transform(at, lambda k: F.get(r["cells"], k)).alias("cells"))))
 
-def after_header(records: DataFrame, doc: str, header: str) -> DataFrame:
-    """(doc, record, cells, header): the records after the first whose first cell is `header`, with that record's cells, all trimmed."""
-    trimmed = records.withColumn("cells", F.transform("cells", lambda c: F.trim(c)))
-    first = trimmed.filter(F.get("cells", F.lit(0)) == header).groupBy(doc).agg(F.min_by("cells", "record").alias("header"), F.min("record").alias("_from"))
-    return trimmed.join(first, doc).filter(F.col("record") > F.col("_from")).drop("_from")
+    at_header = lambda rows: F.array_position(F.transform(rows, lambda r: F.trim(F.get(r["cells"], F.lit(0))) == header), True).cast("int")
+    found = _let(csv_parsed(F.col(text)), lambda rows: _let(at_header(rows), lambda first: below(rows, first)))
+    return texts.filter(F.col(doc).isNotNull()).select(doc, *(keep or ()), F.inline(found))
 
 
 def csv_report(texts: DataFrame, doc: str, text: str, header: str, columns: list[str]) -> DataFrame:
     """Rows of a CSV report after the record whose first cell is `header`; short rows are padded with empty cells."""
-    body = after_header(csv_records(texts, doc, text), doc, header)
-    return body.select(doc, F.col("record").alias("line_number"), *(F.coalesce(F.get("cells", F.lit(k)), F.lit("")).alias(c) for k, c in enumerate(columns)))
+    body = after_header(texts, doc, text, header)
+    return body.select(doc, F.col("record").alias("line_number"), *(F.trim(F.coalesce(F.get("cells", F.lit(k)), F.lit(""))).alias(c) for k, c in enumerate(columns)))
 
 
 def unique_names(files: DataFrame, name: str = "name", order: str = "ord") -> DataFrame:

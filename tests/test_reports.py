@@ -59,6 +59,22 @@ def test_wound_rows_merge(spark):
         wound(spark, text.replace("1/25/2026 - 1/26/2026", "soon"))
 
 
+def test_wound_texts_are_parsed_within_their_rows(spark):
+    """No cell or record is shuffled or joined: the only exchanges are those of the two groupings that unite a wound's rows."""
+    df = spark.createDataFrame([("d", HEAD + "Z1,,1,,Heel,x,,note\n")], "doc string, text string")
+    plan = lambda x: x._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(documents.csv_records(df, "doc", "text")) and "Exchange" not in plan(wounds.wound_rows(df))
+    whole = plan(wounds.wound_report(df))
+    assert whole.count("Exchange") == 2 and "Join" not in whole
+
+
+def test_cells_by_headings(spark):
+    """Of equal headings the last counts, headings that are not there and cells of short rows are nulls; records before the header and tables without it give nothing."""
+    df = spark.createDataFrame([(1, 'x,y\n\n H , b,a,b\n1,2,"3,\n4",5\n6\n'), (2, "x,y\n1,2\n"), (3, None), (None, "H\n1\n")], "d int, t string")
+    assert [tuple(r) for r in documents.after_header(df, "d", "t", "H", ["b", "H", "none"]).orderBy("record").collect()] == [(1, 3, ["5", "1", None]), (1, 4, [None, "6", None])]
+    assert [r.cells for r in documents.after_header(df, "d", "t", "H").orderBy("record").collect()] == [["1", "2", "3,\n4", "5"], ["6"]]
+
+
 def test_texts_of_very_many_rows_unite(spark):
     df = spark.range(30_000).selectExpr("1 as k", "id as o", "concat('Note ', id % 3) as t", "if(id = 7, 'x', null) as f")
     assert merge.union_texts(df, ["k"], "o", ["t"], ["f"]).select("t", "f").first() == ("Note 0\nNote 1\nNote 2", "x")
