@@ -3,7 +3,7 @@
 Four checked patterns give the base spans, which always stay. High-recall generators
 propose further, overlapping spans: runs of digits and separators, address-like words,
 spelt-out addresses and account numbers. Boosted trees see each candidate's format and
-context. They learn from the candidates that the checks settle and rate the others. 1: a
+context. They learn from all candidates that the checks settle, wherever these lie, and rate the others. 1: a
 valid checksum, parts in range, a plausible number of digits, an account number whose
 remainder modulo 97 is 1, a spelt-out address that reads as one when rewritten, a
 national phone or social security number with its parts in range. 0: a
@@ -22,18 +22,16 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import json
 import re
 from bisect import bisect_left
 from itertools import accumulate
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.llm import boosting
-from larder.llm.common import Cover, id_type, map_rows, schema_of
+from larder.llm.common import Cover, id_type, map_rows, schema_of, staged
 
 #: Fixed values of the base patterns, and the order in which spans with one start are listed.
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -56,8 +54,6 @@ DATE = re.compile(r"(?:19|20)[0-9]{2}[-.\x20](?:0?[1-9]|1[0-2])[-.\x20](?:0?[1-9
 #: Phone and social security numbers without a country code, parts in range.
 NATIONAL = re.compile(r"(?:\([2-9][0-9]{2}\)\x20?|[2-9][0-9]{2}[-.\x20])[2-9][0-9]{2}[-.\x20][0-9]{4}|(?!000|666)[0-8][0-9]{2}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}")
 DIGITS, SPELT, ACCOUNT = 0, 2, 3
-#: Bound of the sample of settled candidates: those of each class and generator with the smallest hashes.
-SAMPLE_CANDIDATES = 4000
 
 Span = tuple[int, str, int]
 
@@ -181,7 +177,7 @@ def settled(text: str) -> list[tuple[int, int, int, int | None]]:
 
 
 def fit_candidates(df: DataFrame, text_col: str = "text") -> dict | None:
-    """Trees and each generator's threshold from a bounded sample of settled candidates of all texts; None where one class is missing."""
+    """Trees and each generator's threshold from all distinct settled candidates of all texts, a fourth of them, by hash, held out for the thresholds; None where one class is missing."""
 
     def start():
         def rows(texts):
@@ -193,23 +189,23 @@ def fit_candidates(df: DataFrame, text_col: str = "text") -> dict | None:
         return rows
 
     found = map_rows(df, [text_col], schema_of("label int, generator int, shown string, x array<double>"), start).distinct()
-    by_hash = Window.partitionBy("label", "generator").orderBy(F.xxhash64("shown", "x"), "shown")
-    sample = found.withColumn("place", F.row_number().over(by_hash)).filter(F.col("place") <= SAMPLE_CANDIDATES).drop("shown")
-
-    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["place", "label", "generator"])
-        x, y, g = np.array(pdf["x"].tolist(), float), pdf["label"].to_numpy(float), pdf["generator"].to_numpy()
-        held = pdf["place"].to_numpy() % 4 == 0
-        if len(set(y[~held])) < 2:
-            return pd.DataFrame({"model": [""]}, dtype=object)
-        model = boosting.fit(x[~held], y[~held])
-        scores = boosting.predict(model, x[held])
-        own = [g[held] == k if (g[held] == k).any() else np.ones(len(scores), bool) for k in range(len(GENERATORS))]
-        model["least"] = [min(boosting.calibrate(scores[k], y[held][k]), 1e300) for k in own]
-        return pd.DataFrame({"model": [json.dumps(model)]}, dtype=object)
-
-    got = sample.groupBy(F.lit(1).alias("all")).applyInPandas(learn, "model string").collect()  # SAMPLE_CANDIDATES rows of each class and generator at most, one model out
-    return json.loads(got[0]["model"]) if got and got[0]["model"] else None
+    held = F.pmod(F.xxhash64("shown", "x"), F.lit(4)) == 0
+    found = staged(found.select("label", "generator", held.alias("held"), "x"), "pii-candidates")
+    rows, cuts = boosting.binned(found, len(features("", 0, 0, 0)), "NOT held")
+    model = boosting.fit_table(rows.filter("NOT held"), cuts)
+    if model is None:
+        return None
+    counts = boosting.score_counts(rows.filter("held"), model, "generator")
+    every = [c for own in counts.values() for c in own]
+    own = [np.array(counts.get(g) or every, float).reshape(-1, 3) for g in range(len(GENERATORS))]
+    model["least"] = [min(_least(c), 1e300) for c in own]
+    return model
+
+
+def _least(counts: np.ndarray) -> float:
+    """The threshold by (score, rows, rows with label 1); equal scores of several generators are one."""
+    scores, place = np.unique(counts[:, 0], return_inverse=True)
+    return boosting.calibrate(scores, np.bincount(place, counts[:, 2], len(scores)), n=np.bincount(place, counts[:, 1], len(scores)))
 
 
 def scan_batch(texts: list[str], model: dict | None) -> list[tuple[list[Span], list[Span]]]:

@@ -175,6 +175,29 @@ def test_boosting_learns_and_calibrates():
     assert y[600:][s >= least].mean() >= 0.95 and boosting.calibrate(s, np.zeros(200)) == float("inf")
 
 
+def test_trees_of_a_table_are_those_of_all_its_rows(spark):
+    """Histograms summed over tasks give the splits and leaves that the rows together give."""
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 200, size=(3000, 3)).astype(float)
+    y = ((x[:, 0] > 90) ^ (x[:, 2] > 120)).astype(int)
+    df = spark.createDataFrame([(int(b), False, a.tolist()) for a, b in zip(x, y)], "label int, held boolean, x array<double>").repartition(5)
+    rows, cuts = boosting.binned(df, 3, "NOT held")
+    want, got = boosting.fit(x, y.astype(float), rounds=2), boosting.fit_table(rows, cuts, rounds=2)
+    assert got["features"] == want["features"] and np.allclose(got["limits"], want["limits"]) and np.allclose(got["leaves"], want["leaves"], atol=0.002)
+    counts = boosting.score_counts(rows, got, "held")[False]
+    scores = boosting.predict(got, x)
+    assert [(s, int((scores == s).sum()), int(y[scores == s].sum())) for s in sorted(set(scores), reverse=True)] == counts
+
+
+def test_all_settled_candidates_count(spark, monkeypatch):
+    """The trees start from the classes' shares among all distinct settled candidates, however many one class has."""
+    rows = [(k, f"at 10.{k // 250}.{k % 250}.7 x") for k in range(9000)] + [(10_000 + k, f"pay 4111 1111 1111 {1000 + k} x") for k in range(500) if not pii.luhn(f"411111111111{1000 + k}")]
+    fit_table = boosting.fit_table
+    monkeypatch.setattr(boosting, "fit_table", lambda rows, cuts: fit_table(rows, cuts, rounds=1))
+    model = pii.fit_candidates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert abs(model["bias"] - np.log(9000 / (len(rows) - 9000))) < 0.2
+
+
 def iban(k):
     body = f"37040044{k * 7919 % 10**10:010d}"
     return f"DE{98 - int(body + '131400') % 97:02d}{body}"
