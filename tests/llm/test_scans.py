@@ -1,6 +1,7 @@
 import random
 import re
 import time
+import zlib
 
 import numpy as np
 from hypothesis import given, settings
@@ -158,6 +159,27 @@ def test_few_labelled_values_are_enough(spark):
     assert not any(got[2000 + k] for k in range(10, 30))
 
 
+def test_formats_learn_from_all_values(spark):
+    """Every distinct value and prose word is counted, however many there are; a value that is too long is counted by its start."""
+    import json
+
+    rng = random.Random(6)
+    key = lambda n: "".join(rng.choice("ghijklmnopqrstuvwxyzGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
+    keys = [f"sk-{key(20)}" for _ in range(3000)]
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(10))
+    rows = [(k, f"token = {v} and token = {keys[k - 1]} {word()}") for k, v in enumerate(keys)]
+    formats = secret_scan.infer_formats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    model = json.loads(formats["kinds"]["assign"]["model"])
+    learnt = [v for v in keys if zlib.crc32(v.encode()) % 5]
+    assert sum(model["stops"]) == len(learnt) > 2000
+    assert sum(n for seen in model["seen"] for n in seen.values()) == sum(map(len, learnt))
+    assert sum(sum(json.loads(b)["stops"]) for b in formats["backgrounds"]) == len({w for _, t in rows for w in secret_scan.WORD.findall(t)}) >= 3000
+
+    strings = [("m", "".join(map(secret_scan.letter_class, f"sk-{h[:20]}")), True, 1) for h in HEX] + [("m", "0" * 200, False, 2)]
+    found = secret_scan.infer(spark.createDataFrame(strings, "model string, shape string, whole boolean, n long"))["m"]
+    assert len(found.next) < 60 and sum(found.stops) == len(HEX) and sum(n for seen in found.seen for n in seen.values()) == 23 * len(HEX) + 400
+
+
 def test_redaction_of_overlaps():
     assert secret_scan.redact("abcdefgh", [(1, "assign", 4), (2, "hex", 6)], "_") == "a_gh"
 
